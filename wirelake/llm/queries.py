@@ -1,8 +1,14 @@
-"""The registered queries of the language-model operators."""
+"""The registered queries of the language-model operators: each runs its operator over a whole table."""
 
 from __future__ import annotations
 
-from wirelake.llm import simhash
+import public_tokenizers
+
+from wirelake.llm import bpe, langid, lcp, mixing, pii, simhash
+
+#: Target weights of the sources: the hot one is held down, some are wanted more.
+MIX_WEIGHTS = {"src0": 6, "src1": 4, "src2": 4, "src3": 3, "src4": 3}
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def documents(spark, sf_dir):
@@ -13,9 +19,37 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir), MIX_WEIGHTS)
+
+
+def op3_bpe(spark, sf_dir):
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+
+
+def op7_pii(spark, sf_dir):
+    return pii.digests(documents(spark, sf_dir))
+
+
+def op8_fingerprints(spark, sf_dir):
+    return lcp.edited(documents(spark, sf_dir))
+
+
+def op10_langid(spark, sf_dir):
+    return langid.held_out_predictions(documents(spark, sf_dir))
+
+
 def queries():
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_mixing": op2_mixing,
+        "op3_bpe": op3_bpe,
+        "op7_pii": op7_pii,
+        "op8_fingerprints": op8_fingerprints,
+        "op10_langid": op10_langid,
+    }
 
 
 def oracle_sql():
+    """None: hash sketches, schedules, merges, checksums and profiles have no SQL form; the tests hold them against brute force."""
     return {}
