@@ -12,7 +12,7 @@ from wirelake.llm.common import Scratch, ascii_lower, link_roots
 from wirelake.llm.graph import components
 
 #: Distinct fingerprints in one tile; two tiles and one block of comparisons are what a task holds.
-TILE = 16384
+TILE = 65536
 BLOCK = 256
 
 
