@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import code_points, texts_in_chunks
+from wirelake.llm.common import code_points, texts_in_chunks, with_fields
 
 #: A code point past Unicode marks the end of a text.
 END_POINT = 0x110000
@@ -338,7 +338,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
     kept = [c for c in docs.columns if c not in ("ids", "ends")]
     at = kept.index("text")
-    schema = docs.select(*kept).schema.add("ids", "array<int>").add("ends", "array<long>")
+    schema = with_fields(docs.select(*kept).schema, "ids array<int>, ends array<long>")
 
     def run(batches):
         own = coder(path)
@@ -371,4 +371,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "data"])
 
     kept = encoded.drop("data")
-    return kept.mapInArrow(run, kept.schema.add("data", "binary"))
+    return kept.mapInArrow(run, with_fields(kept.schema, "data binary"))

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fold(key: str | Column, k: int) -> Column:
@@ -31,6 +32,11 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
+    """The schema with the columns of a DDL string after its own."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wirelake.llm.common import Scratch, code_points
+from wirelake.llm.common import Scratch, code_points, texts_in_chunks, with_fields
 
 #: Levels whose phrase names are kept, lowest first; a phrase of level n spans about 2.6 ** n characters.
 LEVELS = (2, 3, 4)
@@ -128,13 +128,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        from wirelake.llm.common import texts_in_chunks
-
         for batch in batches:
             out = [x for _, texts in texts_in_chunks(batch, at) for x in render(sketches(texts))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(run, docs.schema.add("fingerprint", "string"))
+    return docs.mapInArrow(run, with_fields(docs.schema, "fingerprint string"))
 
 
 def neighbours(docs: DataFrame, group: int = GROUP) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirelake.llm.common import with_fields
+
 #: Kinds in the order that breaks ties of spans with the same start; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban")
 #: Score of a confirmed span without context, what a context word adds, and what a word of contrary meaning takes off.
@@ -130,7 +132,7 @@ def find(docs: DataFrame) -> DataFrame:
             found = [[{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in spans(t.as_py() or "")] for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _SPANS)], names=[*batch.schema.names, "pii"])
 
-    return docs.mapInArrow(run, docs.schema.add("pii", "array<struct<kind:string,start:int,end:int,score:double>>"))
+    return docs.mapInArrow(run, with_fields(docs.schema, "pii array<struct<kind:string,start:int,end:int,score:double>>"))
 
 
 def redact(docs: DataFrame, least: float = SURE) -> DataFrame:
