@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from wirelake.llm import bpe, crf, langid, lcp, mixing, pii, simhash
+from wirelake.llm import bpe, crf, hmm, langid, lcp, mixing, pii, simhash
 
 #: Target weights of the sources: the hot one is held down, some are wanted more.
 MIX_WEIGHTS = {"src0": 6, "src1": 4, "src2": 4, "src3": 3, "src4": 3}
@@ -27,6 +27,10 @@ def op3_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def op4_lm_scores(spark, sf_dir):
+    return hmm.held_out_scores(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark, sf_dir):
     return crf.held_out_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -48,6 +52,7 @@ def queries():
         "op1_simhash": op1_simhash,
         "op2_mixing": op2_mixing,
         "op3_bpe": op3_bpe,
+        "op4_lm_scores": op4_lm_scores,
         "op5_toxicity": op5_toxicity,
         "op7_pii": op7_pii,
         "op8_fingerprints": op8_fingerprints,
