@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from wirelake.llm import bpe, crf, hmm, langid, lcp, mixing, pii, simhash
+from wirelake.llm import bpe, crf, hmm, langid, lcp, mixing, nndescent, pii, simhash
 
 #: Target weights of the sources: the hot one is held down, some are wanted more.
 MIX_WEIGHTS = {"src0": 6, "src1": 4, "src2": 4, "src3": 3, "src4": 3}
@@ -43,6 +43,10 @@ def op8_fingerprints(spark, sf_dir):
     return lcp.edited(documents(spark, sf_dir))
 
 
+def op9_vectors(spark, sf_dir):
+    return nndescent.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_langid(spark, sf_dir):
     return langid.held_out_predictions(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def queries():
         "op5_toxicity": op5_toxicity,
         "op7_pii": op7_pii,
         "op8_fingerprints": op8_fingerprints,
+        "op9_vectors": op9_vectors,
         "op10_langid": op10_langid,
     }
 
