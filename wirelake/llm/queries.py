@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from wirelake.llm import bpe, crf, hmm, langid, lcp, mixing, nndescent, pii, simhash
+from wirelake.llm import bpe, crf, hmm, langid, lcp, mixing, nndescent, pii, repeats, simhash
 
 #: Target weights of the sources: the hot one is held down, some are wanted more.
 MIX_WEIGHTS = {"src0": 6, "src1": 4, "src2": 4, "src3": 3, "src4": 3}
@@ -35,6 +35,10 @@ def op5_toxicity(spark, sf_dir):
     return crf.held_out_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_repeats(spark, sf_dir):
+    return repeats.without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op7_pii(spark, sf_dir):
     return pii.digests(documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ def queries():
         "op3_bpe": op3_bpe,
         "op4_lm_scores": op4_lm_scores,
         "op5_toxicity": op5_toxicity,
+        "op6_repeats": op6_repeats,
         "op7_pii": op7_pii,
         "op8_fingerprints": op8_fingerprints,
         "op9_vectors": op9_vectors,
