@@ -111,7 +111,11 @@ def pool(vectors: DataFrame, modes: tuple[str, ...] = ("avg",), by: tuple[str, .
     wanted = [(n, f) for n, f, names in (("a", F.avg("x"), {"avg", "mean"}), ("b", F.min("x"), {"min"}), ("c", F.max("x"), {"max"})) if names & set(modes)]
     per = dims.groupBy(*by, "dim").agg(*[f.cast("double").alias(n) for n, f in wanted])
     rows = F.array_sort(F.collect_list(F.struct("dim", *[n for n, _ in wanted])))
-    return per.groupBy(*by).agg(F.concat(*[F.transform(rows, lambda r, n=n: r[n]) for n, _ in wanted]).alias("pooled"))
+
+    def column(n):
+        return F.transform(rows, lambda r: r[n])
+
+    return per.groupBy(*by).agg(F.concat(*[column(n) for n, _ in wanted]).alias("pooled"))
 
 
 def concat_patches(vectors: DataFrame, lengths: DataFrame, size: int, seq: str = "seq_id", patch: str = "patch_id", pos: str = "pos", vec: str = "vec") -> DataFrame:

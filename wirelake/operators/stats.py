@@ -54,8 +54,11 @@ def coverage(histogram: DataFrame) -> DataFrame:
 
 def special_counts(ids: Column, v: Vocabulary) -> list[Column]:
     """Columns with the number of each special token and of byte tokens in a sequence."""
-    named = [F.size(F.filter(ids, lambda x, k=k: x == k)).alias("n_" + t.strip("</>")) for t, k in v.specials.items()]
-    return [*named, F.size(F.filter(ids, lambda x: x >= v.offset)).alias("n_bytes")]
+
+    def number(k):
+        return F.size(F.filter(ids, lambda x: x == k))
+
+    return [*(number(k).alias("n_" + t.strip("</>")) for t, k in v.specials.items()), F.size(F.filter(ids, lambda x: x >= v.offset)).alias("n_bytes")]
 
 
 def corpus_stats(lines: DataFrame, sample: int = 1000, line: str = "value", number: str = "line_no") -> DataFrame:
