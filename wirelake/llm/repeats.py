@@ -176,7 +176,7 @@ def _release(spark) -> None:
 
 
 def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, t, start, end): bytes of (doc_id, t, text) covered by windows that also start earlier; spans may overlap.
+    """(doc_id, t, spans): of each document of (doc_id, t, text), the bytes covered by windows that also start earlier, as (start, end); they may overlap.
 
     The documents' contexts are matched by hashes: with map-side aggregates, so that a passage shared by all documents
     is one row a task. Contexts that occur again are repeats as a whole. Different contexts around one anchor may share
@@ -196,14 +196,14 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     copies = again.select("h", "c", "doc_id", "t", "place").join(whole, ["h", "c"]).where(order != F.col("first"))
     start, length = F.shiftright("place", 16), F.col("place").bitwiseAND(0xFFFF)
     by_copy = scratch.table(copies.select("doc_id", "t", start.alias("start"), (start + length).alias("end")), "copies")
-    scratch.drop("contexts")
-    _release(spark)
     mixed = first.where("mixed").select("h", "first.*")
     crowd = mixed.groupBy("h").agg(F.count("*").alias("k"))
     wanted = mixed.join(crowd, "h").select("doc_id", "t", F.struct("h", "place", (F.col("k") > HOT).alias("hot")).alias("x"))
     wanted = scratch.table(wanted.groupBy("doc_id", "t").agg(F.collect_list("x").alias("wanted")), "wanted")
+    scratch.drop("grams", "contexts", "first")
+    _release(spark)
     a, b = docs.alias("a"), wanted.alias("b")
-    with_text = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t") == F.col("b.t"))).select("a.doc_id", "a.t", "text", "wanted").dropDuplicates(["doc_id", "t"])
+    with_text = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t") == F.col("b.t"))).select("a.doc_id", "a.t", "text", "wanted")
 
     def cut(batches):
         for batch in batches:
@@ -218,14 +218,16 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, types, strict=True)], names=["h", "hot", "doc_id", "t", "begin", "bytes"])
 
     cuts = scratch.table(with_text.mapInArrow(cut, "h long, hot boolean, doc_id long, t long, begin long, bytes binary"), "cuts")
+    scratch.drop("wanted")
     _release(spark)
     groups = max(1, cuts.count() // ARRAY)
 
     def repeats(table):
-        ids, ts, begin, texts = (table.column(k).to_pylist() for k in ("doc_id", "t", "begin", "bytes"))
-        out = [[] for _ in range(4)]
-        for size, found in maximal_repeats(texts, least):
-            where = sorted(((ids[o] is not None, ids[o] or 0, ts[o], begin[o] + p, ids[o]) for o, p in found), key=lambda x: x[:4])
+        # rows that are the same document give the same contexts
+        each = {x[:3]: x[3] for x in zip(*(table.column(k).to_pylist() for k in ("doc_id", "t", "begin", "bytes")), strict=True)}
+        keys, out = list(each), [[] for _ in range(4)]
+        for size, found in maximal_repeats(list(each.values()), least):
+            where = sorted(((i is not None, i or 0, t, begin + p, i) for (i, t, begin), p in ((keys[o], p) for o, p in found)), key=lambda x: x[:4])
             for _, _, t, at, i in where[1:]:
                 for x, v in zip(out, (i, t, at, at + size), strict=True):
                     x.append(v)
@@ -247,7 +249,11 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     one = F.struct("doc_id", "t", "at")
     earliest = each.groupBy("w").agg(F.min(one).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
     by_window = each.join(earliest, "w").where(one != F.col("first")).select("doc_id", "t", F.col("at").alias("start"), (F.col("at") + least).alias("end"))
-    return by_copy.unionByName(by_array).unionByName(by_window)
+    all_spans = by_copy.unionByName(by_array).unionByName(by_window).groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = scratch.table(all_spans, "found")
+    scratch.drop("copies", "cuts")
+    _release(spark)
+    return found
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -260,10 +266,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     empty table gives an empty result; other columns are not read.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    found = spans(own, least).groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    found = Scratch(docs.sparkSession, "spans").table(found, "found")
-    _release(docs.sparkSession)
-    a, b = own.alias("a"), found.alias("b")
+    a, b = own.alias("a"), spans(own, least).alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.t") == F.col("b.t")), "left").select("a.doc_id", "text", "spans")
 
     def run(batches):
