@@ -175,6 +175,16 @@ def _release(spark) -> None:
     spark._jvm.System.gc()
 
 
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, t, spans): of each document of (doc_id, t, text), the bytes covered by windows that also start earlier, as (start, end); they may overlap.
 
@@ -225,11 +235,18 @@ def spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def repeats(table):
         # rows that are the same document give the same contexts
         each = {x[:3]: x[3] for x in zip(*(table.column(k).to_pylist() for k in ("doc_id", "t", "begin", "bytes")), strict=True)}
-        keys, out = list(each), [[] for _ in range(4)]
+        keys, covered = list(each), [[] for _ in each]
+        rank = [(i is not None, i or 0, t, begin) for i, t, begin in keys]
         for size, found in maximal_repeats(list(each.values()), least):
-            where = sorted(((i is not None, i or 0, t, begin + p, i) for (i, t, begin), p in ((keys[o], p) for o, p in found)), key=lambda x: x[:4])
-            for _, _, t, at, i in where[1:]:
-                for x, v in zip(out, (i, t, at, at + size), strict=True):
+            first = min(found, key=lambda x: (*rank[x[0]][:3], rank[x[0]][3] + x[1]))
+            at = keys[first[0]], keys[first[0]][2] + first[1]
+            for o, p in found:
+                if keys[o][:2] != at[0][:2] or keys[o][2] + p != at[1]:
+                    covered[o].append((p, p + size))
+        out = [[] for _ in range(4)]
+        for (i, t, begin), parts in zip(keys, covered, strict=True):
+            for a, b in _union(parts):
+                for x, v in zip(out, (i, t, begin + a, begin + b), strict=True):
                     x.append(v)
         return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("doc_id", "t", "start", "end"), out, strict=True)})
 
