@@ -135,13 +135,17 @@ def refine(scratch: Scratch, nodes: DataFrame, lists: DataFrame, k: int) -> Data
 
     def run(table):
         centre, member, low = (table.column(c).to_numpy() for c in ("centre", "member", "worst"))
-        x = _matrix(table.column("vec"))
         order = np.argsort(centre, kind="stable")
-        centre, member, low, x = centre[order], member[order], low[order], x[order]
+        centre, member, low = centre[order], member[order], low[order]
+        # the vectors of one centre have one length
+        column = table.column("vec").combine_chunks().take(pa.array(order))
+        values = column.flatten().to_numpy(zero_copy_only=False)
+        at = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
         begin = np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1]))) if len(centre) else np.zeros(0, np.int64)
         us, vs, ss = [], [], []
         for a, b in zip(begin, np.append(begin[1:], len(centre))):
-            sim = x[a:b] @ x[a:b].T
+            x = values[at[a] : at[b]].reshape(b - a, -1)
+            sim = x @ x.T
             np.fill_diagonal(sim, -3)
             i, j = np.nonzero(sim > low[a:b][:, None])
             us.append(member[a:b][i])
