@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wirelake.llm.common import code_points, fold, texts_in_chunks
+from wirelake.llm.common import code_points, fold, texts_in_chunks, with_fields
 
 #: n-grams in a profile; the rank of one that a profile lacks counts as this.
 TOP = 300
@@ -115,18 +115,21 @@ def distances(texts: list[str], known: list[np.ndarray], top: int = TOP) -> tupl
 
 
 def identify(docs: DataFrame, trained: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, lang_pred, score) of every document: the language with the nearest profile, ties by name, and 1 less its distance.
+    """The documents with ``lang_pred`` and ``score``: the language with the nearest profile, ties by name, and 1 less its distance.
 
     A text that is null or has no letter, or any text if no profile was learned, is ``und`` with score 0. Whole texts
-    are counted. Repeated rows come back as often as they are there; only doc_id and text are read.
+    are counted. Repeated rows come back as often as they are there. Columns named lang_pred and score are replaced;
+    other columns go through, of which only text is read.
     """
     langs = sorted(trained)
     known = [trained[k] for k in langs]
+    docs = docs.drop("lang_pred", "score")
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             pred, score = [], []
-            for _, texts in texts_in_chunks(batch):
+            for _, texts in texts_in_chunks(batch, at):
                 if not langs:
                     pred += ["und"] * len(texts)
                     score += [0.0] * len(texts)
@@ -135,12 +138,12 @@ def identify(docs: DataFrame, trained: dict[str, np.ndarray]) -> DataFrame:
                 best = away.argmin(axis=1)
                 pred += [langs[b] if s else "und" for b, s in zip(best, size, strict=True)]
                 score += np.where(size > 0, 1 - away[np.arange(len(texts)), best], 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, with_fields(docs.schema, "lang_pred string, score double"))
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:
     """Predictions of all documents by profiles of those whose fold isn't held out: (doc_id, held_out, lang_pred, score)."""
     trained = profiles(docs.where(fold("doc_id", 3) != 1))
-    return identify(docs, trained).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trained).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

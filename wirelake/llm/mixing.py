@@ -114,6 +114,6 @@ def in_mix_order(docs: DataFrame, weights: dict[str, int] | None = None, block_r
 
     Rows that share a doc_id have one place; their order among themselves is by the hash of their text.
     """
-    order = mix(docs, weights, block_rows, key=key, source=source).groupBy(F.col("doc_id").alias("_key")).agg(F.min(F.struct("slot", "place")).alias("_at"))
-    joined = docs.join(order, docs[key].eqNullSafe(order["_key"]))
-    return joined.repartitionByRange("_at").sortWithinPartitions("_at").drop("_key", "_at")
+    order = mix(docs, weights, block_rows, key=key, source=source).groupBy(F.col("doc_id").alias("__wirelake_key")).agg(F.min(F.struct("slot", "place")).alias("__wirelake_at"))
+    joined = docs.join(order, docs[key].eqNullSafe(order["__wirelake_key"]))
+    return joined.repartitionByRange("__wirelake_at").sortWithinPartitions("__wirelake_at").drop("__wirelake_key", "__wirelake_at")
