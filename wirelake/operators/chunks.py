@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wirelake.functions.dissect import SeparatorConfig, separated_tokens
 from wirelake.functions.tokens import byte_tokens
 from wirelake.functions.vocab import TOKEN, Vocabulary
 
 
-def packet_sequences(packets: DataFrame, v: Vocabulary = TOKEN, separators: bool = True, bos: bool = False, eos: bool = False) -> DataFrame:
-    """(path, packet_index, ids): each packet's ids, with <pkt> in front of all but the first of a file, <bos> and <eos> at the file's ends."""
-    ids = byte_tokens(F.col("data"), v)
+def packet_sequences(packets: DataFrame, v: Vocabulary = TOKEN, separators: bool = True, bos: bool = False, eos: bool = False, fields: SeparatorConfig | None = None) -> DataFrame:
+    """(path, packet_index, ids): each packet's ids, with <pkt> in front of all but the first of a file, <bos> and <eos> at the file's ends, and with ``fields`` <sep> between fields."""
+    ids = byte_tokens(F.col("data"), v) if fields is None else separated_tokens(F.col("data"), fields, v.offset, v.specials["<sep>"])
     out = packets.where("data is not null").select("path", "packet_index", ids.alias("ids"))
     s = v.specials
 
