@@ -207,8 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1 << 20))
     limit = F.when(F.col("toxic") == 1, round(min(1, SAMPLE / n[1]) * (1 << 20))).otherwise(round(min(1, SAMPLE / n[0]) * (1 << 20)))
-    drawn = marked.where(draw < limit)
-    sample = docs.where(F.length("text") <= LONGEST).select("doc_id", "text").join(drawn, "doc_id").orderBy("doc_id", "text").limit(3 * SAMPLE)
+    # about 2 * SAMPLE ids, 4 * SAMPLE at most: small enough to send everywhere, so no text is shuffled for the few that are wanted
+    drawn = docs.sparkSession.createDataFrame(marked.where(draw < limit).limit(4 * SAMPLE).collect(), "doc_id long, toxic int")
+    sample = docs.where(F.length("text") <= LONGEST).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "text").limit(3 * SAMPLE)
     rows = sample.collect()
     return train([r.text for r in rows], [r.toxic for r in rows], n[1] / (n[0] + n[1]))
 
