@@ -246,6 +246,33 @@ def test_vectors(spark):
     assert nndescent.near_duplicates(table.limit(0)).count() == 0
 
 
+def plain_links(rows):
+    """n_links and component of rows (id, vector) by brute force."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    low = ids.copy()
+    while True:
+        after = np.where(near, low[None, :], ids.max()).min(axis=1)
+        if (after == low).all():
+            break
+        low = after
+    return {int(i): (int(n) - 1, int(c)) for i, n, c in zip(ids, near.sum(axis=1), low, strict=True)}
+
+
+def test_vectors_lost_outside_a_large_group(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(120, 32))
+    rows = [(k, (base[0] + 1e-3 * rng.normal(size=32)).tolist()) for k in range(150)]
+    rows += [(200 + 2 * k + s, (base[k] + 0.01 * rng.normal(size=32)).tolist()) for k in range(1, 120) for s in (0, 1)]
+    whole = nndescent.descend
+    # lists that miss each link outside the large group
+    monkeypatch.setattr(nndescent, "ATTEMPTS", 1)
+    monkeypatch.setattr(nndescent, "descend", lambda *a: whole(*a).where("u < 200 and v < 200"))
+    got = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain_links(rows)
+
+
 def test_language(docs, empty):
     rows = by_id(langid.held_out_predictions(docs))
     assert len(rows) == 71 and all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (63, 64, 65, 66))

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wirelake.llm.common import Scratch
+from wirelake.llm.common import Scratch, link_roots
 from wirelake.llm.graph import components
 
-#: Neighbours of a list, random-hyperplane orders that start the lists, vectors of a starting block, refinements.
-NEIGHBOURS, ORDERS, LEAF, ROUNDS = 12, 4, 256, 2
-#: Refinement stops early if fewer than this share of all list entries changed.
+#: Neighbours of a list, random-hyperplane orders that start the lists, vectors of a starting block.
+NEIGHBOURS, ORDERS, LEAF = 12, 4, 256
+#: Lists are refined until at most this share of all entries changed in a round.
 SETTLED = 0.002
-#: Members of a component that stand for it when lists are saturated, and passes of that at most; vectors of a tile when links are counted.
-STANDINS, MERGES, TILE = 4, 8, 1024
-#: Vectors whose links are found by brute force to audit recall, the recall to reach, and attempts, each with twice the neighbours.
+#: Members of a component that stand for it when lists are saturated, and passes of that at most.
+STANDINS, MERGES = 4, 8
+#: Vectors of a tile when links are counted; numbers in a block that all vectors are compared with, vectors of a slice.
+TILE, BLOCK_VALUES, SLICE = 1024, 4_000_000, 512
+#: Vectors of small and of large components each whose links are found by brute force to audit recall, the recall that both have to reach,
+#: and attempts, each with twice the neighbours; after them all vectors are compared exactly.
 AUDIT, RECALL, ATTEMPTS = 256, 0.97, 3
 #: Centres whose neighbourhoods are joined in one call.
 CENTRES = 128
@@ -111,13 +114,14 @@ def start(nodes: DataFrame, k: int, orders: int, leaf: int = LEAF) -> DataFrame:
 
 
 def top(lists: DataFrame, k: int) -> DataFrame:
-    """The k best entries of each list."""
-    distinct = lists.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    """The k best entries of each list, with their mark ``new`` if they have one."""
+    marks = [F.max("new").alias("new")] if "new" in lists.columns else []
+    distinct = lists.groupBy("u", "v").agg(F.max("sim").alias("sim"), *marks)
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return distinct.withColumn("r", rank).where(F.col("r") <= k).select("u", "v", "sim")
+    return distinct.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
-def refine(scratch: Scratch, nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+def refine(scratch: Scratch, nodes: DataFrame, lists: DataFrame, k: int, turn: int = 0) -> DataFrame:
     """New entries (u, v, sim), better than the worst of u's list: neighbours of neighbours, both ways.
 
     Each vector is a centre; the members of its own list and of the lists that it is in are compared with each other.
@@ -125,9 +129,9 @@ def refine(scratch: Scratch, nodes: DataFrame, lists: DataFrame, k: int) -> Data
     worst = lists.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("full"))
     known = nodes.join(worst, nodes.id == worst.u, "left").select("id", "vec", F.when(F.col("full") >= k, F.col("worst")).otherwise(F.lit(-2.0)).alias("worst"))
     own = lists.select(F.col("u").alias("centre"), F.col("v").alias("member"))
-    # of the lists that a vector is in, so many are taken at random for this round; others come by other centres
+    # of the lists that a vector is in, so many are taken at random, others in each round
     turned = lists.select(F.col("v").alias("centre"), F.col("u").alias("member"))
-    turned = turned.withColumn("r", F.row_number().over(Window.partitionBy("centre").orderBy(F.xxhash64("member", "centre")))).where(F.col("r") <= k).drop("r")
+    turned = turned.withColumn("r", F.row_number().over(Window.partitionBy("centre").orderBy(F.xxhash64("member", "centre", F.lit(turn))))).where(F.col("r") <= k).drop("r")
     itself = nodes.select(F.col("id").alias("centre"), F.col("id").alias("member"))
     around = own.unionByName(turned).unionByName(itself).distinct()
     there = around.join(known, around.member == known.id).select("centre", "member", "vec", "worst")
@@ -160,17 +164,20 @@ def refine(scratch: Scratch, nodes: DataFrame, lists: DataFrame, k: int) -> Data
 
 
 def descend(scratch: Scratch, nodes: DataFrame, k: int, orders: int, name: str) -> DataFrame:
-    """Lists (u, v, sim) of the k nearest of each of ``nodes`` (id, vec), as far as the refinements find them."""
+    """Lists (u, v, sim) of the k nearest of each of ``nodes`` (id, vec), refined until they settle.
+
+    That ends: an entry only gives way to a better one.
+    """
     lists = scratch.table(top(start(nodes, k, orders), k), f"{name}-0")
-    for r in range(ROUNDS):
-        found = scratch.table(refine(scratch, nodes, lists, k), f"{name}-found-{r}")
-        after = scratch.table(top(lists.unionByName(found), k), f"{name}-{r + 1}")
-        changed, entries = after.join(found, ["u", "v"], "left_semi").count(), after.count()
-        scratch.drop(f"{name}-{r}", f"{name}-found-{r}")
-        lists = after
-        if changed <= SETTLED * entries:
-            break
-    return lists
+    r = 0
+    while True:
+        found = refine(scratch, nodes, lists, k, r).withColumn("new", F.lit(1))
+        after = scratch.table(top(lists.withColumn("new", F.lit(0)).unionByName(found), k), f"{name}-{r + 1}")
+        seen = after.agg(F.sum("new").alias("changed"), F.count("*").alias("entries")).first()
+        scratch.drop(f"{name}-{r}")
+        lists, r = after.drop("new"), r + 1
+        if (seen.changed or 0) <= SETTLED * seen.entries:
+            return lists
 
 
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -221,31 +228,112 @@ def count_links(members: DataFrame, threshold: float) -> DataFrame:
     return keyed.groupBy("g", "large", "a", "b").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float) -> tuple[float, int]:
-    """Recall of ``found`` (id, links) against brute force for a bounded sample of vectors, and the links that they have."""
+def audit(nodes: DataFrame, joined: DataFrame, found: DataFrame, threshold: float) -> float:
+    """Recall of ``found`` (id, links) against brute force: the mean over linked vectors of each one's share of its links.
+
+    Vectors are drawn apart from large components (node, component of ``joined``), those that a draw over all would meet
+    anyway, and within them; the lower of the two recalls counts. So many links of a few groups don't hide lost ones.
+    """
     n = nodes.count()
-    share = min(1.0, AUDIT / max(1, n))
-    drawn = nodes.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < round(share * (1 << 20))).limit(2 * AUDIT).select("id", "vec").collect()
+    sizes = joined.groupBy("component").agg((F.count("*") > n / AUDIT).alias("large"))
+    placed = joined.join(sizes, "component").select("node", "large")
+    strata = nodes.join(placed, nodes.id == placed.node, "left").select("id", "vec", F.coalesce("large", F.lit(False)).alias("large"))
+    counts = {r.large: r["count"] for r in strata.groupBy("large").count().collect()}
+    share = {x: round(min(1.0, AUDIT / max(1, counts.get(x, 0))) * (1 << 20)) for x in (False, True)}
+    drawn = strata.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < F.when(F.col("large"), share[True]).otherwise(share[False])).limit(4 * AUDIT).collect()
     if not drawn:
-        return 1.0, 0
-    queries = [(r.id, np.array(r.vec)) for r in drawn]
+        return 1.0
+    queries: dict[int, tuple] = {}
+    for d in {len(r.vec) for r in drawn}:
+        own = [r for r in drawn if len(r.vec) == d]
+        queries[d] = np.array([r.id for r in own]), np.array([r.vec for r in own])
 
     def run(batches):
-        total = np.zeros(len(queries), np.int64)
+        total = {d: np.zeros(len(ids), np.int64) for d, (ids, _) in queries.items()}
         for batch in batches:
             size = np.diff(batch.column(1).offsets.to_numpy())
             for d in np.unique(size):
-                rows = np.flatnonzero(size == d)
-                part = batch.take(pa.array(rows))
+                if int(d) not in queries:
+                    continue
+                part = batch.take(pa.array(np.flatnonzero(size == d)))
                 x, ids, m = _matrix(part.column(1)), part.column(0).to_numpy(), part.column(2).to_numpy()
-                for q, (i, v) in enumerate(queries):
-                    if len(v) == d:
-                        total[q] += m[(x @ v >= threshold) & (ids != i)].sum()
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in queries], pa.int64()), pa.array(total)], names=["id", "links"])
-
-    exact = nodes.select("id", "vec", "n").mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("exact"))
-    r = exact.join(found, "id", "left").agg(F.sum("exact").alias("e"), F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("exact"))).alias("f")).first()
-    return (r.f / r.e if r.e else 1.0), int(r.e or 0)
+                asked, y = queries[int(d)]
+                total[int(d)] += m @ ((x @ y.T >= threshold) & (ids[:, None] != asked[None, :]))
+        for d, (ids, _) in queries.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[d])], names=["id", "links"])
+
+    exact = nodes.select("id", "vec", "n").mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("exact")).where("exact > 0")
+    have = {r.id: min(r.links or 0, r.exact) / r.exact for r in exact.join(found, "id", "left").collect()}
+    recalls = [[have[r.id] for r in drawn if r.large == x and r.id in have] for x in (False, True)]
+    return min((sum(x) / len(x) for x in recalls if x), default=1.0)
+
+
+def _slices(component: np.ndarray, x: np.ndarray):
+    """Rows by component in slices: (rows, the only component or None, centre, angle around it that holds all)."""
+    order = np.argsort(component, kind="stable")
+    for k in range(0, len(order), SLICE):
+        rows = order[k : k + SLICE]
+        c = component[rows]
+        centre = x[rows].mean(axis=0)
+        length = np.linalg.norm(centre)
+        centre = centre / length if length > 1e-9 else x[rows[0]]
+        yield rows, c[0] if c[0] == c[-1] else None, centre, np.arccos(np.clip((x[rows] @ centre).min(), -1, 1))
+
+
+def compare(scratch: Scratch, nodes: DataFrame, threshold: float, name: str) -> DataFrame:
+    """(u, v, links) of exact comparisons of all ``nodes`` (component, id, vec, n) of different components.
+
+    Rows with a v join components u and v by a link; rows without one say how many vectors are linked to id u in a block.
+    Blocks are broadcast one after the other, each of about BLOCK_VALUES numbers whatever the table; every task keeps one
+    block. Slices whose angles rule out any link are skipped. Work grows with the square of the number of nodes otherwise.
+    """
+    spark = nodes.sparkSession
+    nodes = nodes.select("component", "id", "n", "vec")
+    blocks = max(1, -(-int(nodes.agg(F.sum(F.size("vec"))).first()[0] or 0) // BLOCK_VALUES))
+    reach = np.arccos(threshold) + 1e-6
+    parts = []
+    for b in range(blocks):
+        there = nodes.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        size = there.column("vec").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        held = {}
+        for d in np.unique(size):
+            part = there.take(pa.array(np.flatnonzero(size == d)))
+            held[int(d)] = tuple(part.column(c).to_numpy() for c in ("component", "id", "n")) + (_matrix(part.column("vec")),)
+        block = spark.sparkContext.broadcast(held)
+
+        def run(batches, block=block):
+            sides = {d: (c, i, m, y, list(_slices(c, y))) for d, (c, i, m, y) in block.value.items()}
+            for batch in batches:
+                size = np.diff(batch.column(3).offsets.to_numpy())
+                for d in np.unique(size):
+                    if int(d) not in sides:
+                        continue
+                    part = batch.take(pa.array(np.flatnonzero(size == d)))
+                    component, ids, x = part.column(0).to_numpy(), part.column(1).to_numpy(), _matrix(part.column(3))
+                    other, _, m, y, right = sides[int(d)]
+                    names, at = np.unique(np.concatenate((component, other)), return_inverse=True)
+                    mine, theirs = at[: len(component)], at[len(component) :]
+                    roots, total = np.arange(len(names)), np.zeros(len(ids), np.int64)
+                    for rows, only, centre, angle in _slices(component, x):
+                        for cols, same, middle, wide in right:
+                            if (only is not None and only == same) or np.arccos(np.clip(centre @ middle, -1, 1)) > angle + wide + reach:
+                                continue
+                            near = (x[rows] @ y[cols].T >= threshold) & (mine[rows][:, None] != theirs[cols][None, :])
+                            i, j = np.nonzero(near)
+                            if len(i):
+                                total[rows] += near @ m[cols]
+                                roots = link_roots(len(names), [(mine[rows[i]], theirs[cols[j]])], roots)
+                    on, some = np.flatnonzero(roots != np.arange(len(names))), np.flatnonzero(total)
+                    u, v = np.concatenate((names[on], ids[some])), pa.array([*names[roots[on]].tolist(), *[None] * len(some)], pa.int64())
+                    links = np.concatenate((np.zeros(len(on), np.int64), total[some]))
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), v, pa.array(links)], names=["u", "v", "links"])
+
+        parts.append(scratch.table(nodes.mapInArrow(run, "u long, v long, links long"), f"{name}-{b}"))
+        block.unpersist()
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def link(scratch: Scratch, nodes: DataFrame, threshold: float, k: int, orders: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -281,11 +369,18 @@ def link(scratch: Scratch, nodes: DataFrame, threshold: float, k: int, orders: i
     return joined, scratch.table(count_links(members, threshold), f"{name}-links")
 
 
+def exact(scratch: Scratch, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(components, links) as of ``link``, by comparing all vectors."""
+    found = compare(scratch, nodes.withColumn("component", F.col("id")), threshold, "exact")
+    joined = components(Scratch(scratch.spark, "exact-cc"), found.where("v is not null").select("u", "v"))
+    return joined, found.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding).
 
     Equal vectors (after scaling) are one node with a count. NN-descent links the nodes; its recall is audited against
-    brute force for a bounded sample, and lists are doubled until it suffices. Links are pairs with a cosine of at least
+    brute force for a bounded sample, lists are doubled while it falls short, and at last all vectors are compared. Links are pairs with a cosine of at least
     ``threshold`` in double precision, and n_links counts rows. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows with a null id, link with nothing; nor do vectors of different lengths. Other
     columns aren't read; an empty table gives an empty result.
@@ -297,9 +392,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, neighbours: int
     joined = links = None
     for attempt in range(ATTEMPTS):
         joined, links = link(scratch, nodes, threshold, neighbours << attempt, ORDERS << attempt, f"try-{attempt}")
-        recall, _ = audit(nodes, links, threshold)
-        if recall >= RECALL:
+        if audit(nodes, joined, links, threshold) >= RECALL:
             break
+    else:
+        joined, links = exact(scratch, nodes, threshold)
     classes = nodes.join(links, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
     classes = scratch.table(classes.select("h", "i", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "classes")
     # the classes have the component of their node; ids of a component are those of its smallest row
