@@ -273,6 +273,16 @@ def test_vectors_lost_outside_a_large_group(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain_links(rows)
 
 
+def test_vectors_one_link_between_saturated_groups(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "BLOCK_VALUES", 100, raising=False)
+    degrees = [*np.linspace(0, 4.5, 59), 5.0, 30.5, *np.linspace(31, 35.5, 59)]
+    rows = [(k, [float(np.cos(np.radians(a))), float(np.sin(np.radians(a)))]) for k, a in enumerate(degrees)]
+    got = nndescent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    expected = plain_links(rows)
+    assert expected[59] == (60, 0) and expected[60] == (60, 0) and expected[0] == (59, 0)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == expected
+
+
 def test_language(docs, empty):
     rows = by_id(langid.held_out_predictions(docs))
     assert len(rows) == 71 and all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (63, 64, 65, 66))

@@ -15,8 +15,6 @@ from wirelake.llm.graph import components
 NEIGHBOURS, ORDERS, LEAF = 12, 4, 256
 #: Lists are refined until at most this share of all entries changed in a round.
 SETTLED = 0.002
-#: Members of a component that stand for it when lists are saturated, and passes of that at most.
-STANDINS, MERGES = 4, 8
 #: Vectors of a tile when links are counted; numbers in a block that all vectors are compared with, vectors of a slice.
 TILE, BLOCK_VALUES, SLICE = 1024, 4_000_000, 512
 #: Vectors of small and of large components each whose links are found by brute force to audit recall, the recall that both have to reach,
@@ -337,34 +335,23 @@ def compare(scratch: Scratch, nodes: DataFrame, threshold: float, name: str) ->
 
 
 def link(scratch: Scratch, nodes: DataFrame, threshold: float, k: int, orders: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """(components, links): of the threshold edges of NN-descent lists, joined until no saturated list can hide a link.
+    """(components, links): of the threshold edges of NN-descent lists, joined where a saturated list hides a link.
 
-    A list is saturated when all its entries are links: then more may be cut off. The components of such lists send a
-    few stand-ins each into another descent among themselves; links between them join components. When nothing joins
-    any more, the links of all lists are counted within whole components, whatever their size.
+    A list is saturated when all its entries are links: then more may be cut off. A link that no list holds has two
+    such ends, so the vectors with saturated lists are compared exactly across components, and links between them join
+    components. Then the links of all vectors are counted within whole components, whatever their size.
     """
     lists = descend(scratch, nodes, k, orders, f"{name}-lists")
     links = lists.where(F.col("sim") >= threshold).select("u", "v")
-    joined = scratch.table(components(Scratch(scratch.spark, f"{name}-cc"), links), f"{name}-joined-0")
-    saturated = lists.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("c")).where((F.col("c") >= k) & (F.col("low") >= threshold))
-    full = scratch.table(joined.join(saturated, joined.node == saturated.u, "left_semi").select("component").distinct(), f"{name}-full")
-    for r in range(MERGES):
-        if full.limit(2).count() < 2:
-            break
-        # stand-ins: the members with the least hashes, by an aggregate that keeps a few
-        ranked = joined.join(full, "component", "left_semi").withColumn("part", F.pmod(F.xxhash64("node", F.lit(r)), F.lit(STANDINS)))
-        chosen = ranked.groupBy("component", "part").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node"))["node"].alias("id"))
-        some = scratch.table(nodes.join(chosen.select("id"), "id", "left_semi"), f"{name}-standins-{r}")
-        near = descend(scratch, some, k + STANDINS, orders, f"{name}-merge-{r}").where(F.col("sim") >= threshold).select("u", "v")
-        side = joined.select(F.col("node"), F.col("component").alias("c"))
-        pairs = near.join(side, near.u == side.node).select(F.col("c").alias("a"), "v").join(side, F.col("v") == side.node).select("a", F.col("c").alias("b")).where("a <> b")
-        pairs = scratch.table(pairs.distinct(), f"{name}-pairs-{r}")
-        if pairs.isEmpty():
-            break
-        up = scratch.table(components(Scratch(scratch.spark, f"{name}-cc"), pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), f"{name}-up-{r}")
+    joined = scratch.table(components(Scratch(scratch.spark, f"{name}-cc"), links), f"{name}-joined")
+    saturated = lists.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("c")).where((F.col("c") >= k) & (F.col("low") >= threshold)).select("u")
+    ends = joined.join(saturated, joined.node == saturated.u, "left_semi")
+    ends = scratch.table(nodes.join(ends, nodes.id == ends.node).select("component", "id", "n", "vec"), f"{name}-saturated")
+    if ends.select("component").distinct().limit(2).count() == 2:
+        pairs = compare(scratch, ends, threshold, f"{name}-across").where("v is not null").select("u", "v")
+        up = scratch.table(components(Scratch(scratch.spark, f"{name}-up"), pairs), f"{name}-up")
         moved = joined.join(up.select(F.col("node").alias("from"), F.col("component").alias("to")), F.col("component") == F.col("from"), "left")
-        joined = scratch.table(moved.select("node", F.coalesce("to", "component").alias("component")), f"{name}-joined-{r + 1}")
-        full = scratch.table(up.select("component").distinct(), f"{name}-full-{r + 1}")
+        joined = scratch.table(moved.select("node", F.coalesce("to", "component").alias("component")), f"{name}-whole")
     members = nodes.join(joined, nodes.id == joined.node).select("component", "id", "vec", "n")
     return joined, scratch.table(count_links(members, threshold), f"{name}-links")
 
