@@ -59,6 +59,17 @@ def test_run(spark, folder):
     assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and out.count() > 50
 
 
+def test_shares_by_slot(spark, tmp_path):
+    rows = [(k, f"a text {k}", "en", f"src{max(0, k % 6 - 1)}", 0) for k in range(1920)]
+    spark.createDataFrame(rows, DOCS).repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.encoded(spark, corpus_pipeline.mixed(spark, docs, str(tmp_path)), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1920)) and len({(r.mix_slot, r.mix_place) for r in got}) == 1920
+    # one period of the schedule, of which each source has its weight's blocks of 64 rows
+    shares = {s: sum(r.source == s for r in got if r.mix_slot < 20) for s in corpus_pipeline.MIX_WEIGHTS}
+    assert shares == {s: 64 * w for s, w in corpus_pipeline.MIX_WEIGHTS.items()}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

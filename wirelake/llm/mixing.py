@@ -109,11 +109,19 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
     )
 
 
-def in_mix_order(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """The rows in the order of the mix: range-partitioned and sorted by slot and place, so that files written from it follow the schedule.
+def with_places(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows with mix_slot and mix_place: the slot of their block in the mix and their place in the block.
 
-    Rows that share a doc_id have one place; their order among themselves is by the hash of their text.
+    Rows that share a key and a source have one place. Columns of these names are replaced.
     """
-    order = mix(docs, weights, block_rows, key=key, source=source).groupBy(F.col("doc_id").alias("__wirelake_key")).agg(F.min(F.struct("slot", "place")).alias("__wirelake_at"))
-    joined = docs.join(order, docs[key].eqNullSafe(order["__wirelake_key"]))
-    return joined.repartitionByRange("__wirelake_at").sortWithinPartitions("__wirelake_at").drop("__wirelake_key", "__wirelake_at")
+    docs = docs.drop("mix_slot", "mix_place")
+    own = [F.col("doc_id").alias("__wirelake_key"), F.col("source").alias("__wirelake_source")]
+    order = mix(docs, weights, block_rows, key=key, source=source).groupBy(*own).agg(F.min(F.struct("slot", "place")).alias("__wirelake_at"))
+    joined = docs.join(order, docs[key].eqNullSafe(order["__wirelake_key"]) & docs[source].eqNullSafe(order["__wirelake_source"]))
+    return joined.select(*docs.columns, F.col("__wirelake_at.slot").alias("mix_slot"), F.col("__wirelake_at.place").alias("mix_place"))
+
+
+def in_mix_order(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows in the order of the mix: range-partitioned and sorted by slot and place, so that files written from it follow the schedule."""
+    at = ["mix_slot", "mix_place"]
+    return with_places(docs, weights, block_rows, key, source).repartitionByRange(*at).sortWithinPartitions(*at).select(*docs.columns)
