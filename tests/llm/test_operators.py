@@ -204,6 +204,12 @@ def test_personal_data(docs, empty):
     assert pii.redact(empty).count() == 0 and pii.find(docs).count() == docs.count()
 
 
+def test_redacts_base_kinds_of_any_score(spark):
+    text = "order placed from 10.1.2.3"
+    assert [(k, p) for k, _, _, p in pii.spans(text)] == [("ip", 0.4)]
+    assert pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == "order placed from [IP]"
+
+
 def test_fingerprints(docs, empty, spark):
     got = lcp.edited(docs, group=4).collect()
     assert len(got) == docs.count()

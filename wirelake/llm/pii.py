@@ -13,6 +13,7 @@ from wirelake.llm.common import with_fields
 
 #: Kinds in the order that breaks ties of spans with the same start; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban")
+BASE_KINDS = KINDS[:4]
 #: Score of a confirmed span without context, what a context word adds, and what a word of contrary meaning takes off.
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9}
 NEAR, BOOST, CUT = 40, 0.1, 0.2
@@ -25,7 +26,7 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta", "transfer"),
 }
 CONTRARY = ("version", "example", "sample", "isbn", "serial", "order")
-#: Spans with a lower score are not reported as sure.
+#: Spans of other than the base kinds with a lower score are found, but not redacted.
 SURE = 0.5
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -136,7 +137,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, least: float = SURE) -> DataFrame:
-    """The documents with each span of at least that score replaced by its kind in brackets; n_chars, if there, follows the text.
+    """The documents with each span replaced by its kind in brackets, of other than the base kinds those of at least that score; n_chars, if there, follows the text.
 
     Of overlapping spans the first by start, then kind, is taken, and a later one only replaces what is left of it. A
     null text stays null. All rows stay, with their columns.
@@ -146,7 +147,7 @@ def redact(docs: DataFrame, least: float = SURE) -> DataFrame:
     def clean(text):
         out, done = [], 0
         for kind, start, end, p in spans(text):
-            if p >= least and end > done:
+            if (kind in BASE_KINDS or p >= least) and end > done:
                 out += [text[done:start] if start > done else "", f"[{kind.upper()}]" if start >= done else ""]
                 done = end
         return "".join([*out, text[done:]]) if out else text
