@@ -140,7 +140,60 @@ def test_language_model(docs, empty, spark):
         assert np.isclose(r.base_score, sum(np.log10((counts.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w))
         assert np.isfinite(r.score) and r.score < 0
     assert hmm.held_out_scores(empty).count() == 0
-    assert np.isfinite(hmm.scores(docs, empty).agg(F.sum("score")).first()[0])
+    assert np.isfinite(hmm.scores(docs, hmm.fit(empty)).agg(F.sum("score")).first()[0])
+
+
+def test_language_model_by_hand(docs, spark):
+    """Every score against a plain forward recursion with logs, one text at a time, over the same fitted model."""
+    odd = spark.createDataFrame([(None, "abc dea bcd " * 3000), (None, None), (None, "never met"), (900, "never met"), (900, "never met")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(odd)
+    model = hmm.fit(docs.where(fold("doc_id", 5) != 1))
+    counts = {bytes(r.word): r.n for r in model.counts.collect()}
+    number = {w: i for i, (w, _) in enumerate(model.top)}
+    assert number and set(number) == {w for w, n in counts.items() if w and n >= 2}
+    n_rare = sum(n for w, n in counts.items() if w and w not in number)
+    p = model.p
+    assert np.allclose(p.emit.sum(axis=0), 1) and np.allclose(p.moves.sum(axis=1), 1) and np.isclose(p.start.sum(), 1)
+
+    def plain(text):
+        total, a = 0.0, None
+        words = (text or "").encode().lower().split()
+        for w in [*words, None]:
+            e = p.emit[number.get(w, len(number)) if w is not None else len(number) + 1]
+            a = (p.start if a is None else a @ p.moves) * e
+            total += np.log10(a.sum())
+            a = a / a.sum()
+            if w is not None and w not in number:
+                c = counts.get(w, 0)
+                total += np.log10((c - hmm.DISCOUNT if c else hmm.DISCOUNT * sum(n and w not in number for w, n in counts.items() if w)) / n_rare)
+        return round(total, 6)
+
+    want = sorted((str(r.doc_id), plain(r.text)) for r in rows.collect())
+    got = sorted((str(r.doc_id), round(r.score, 6)) for r in hmm.scores(rows, model).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=2e-5)
+
+
+def test_expected_counts_of_all_texts(docs, spark):
+    """One pass adds up to the counts of words, starts and moves that the texts hold."""
+    model = hmm.fit(docs, passes=0)
+    number = {w: i for i, (w, _) in enumerate(model.top)}
+    names = spark.sparkContext.broadcast((number, len(number)))
+    seen = {}
+
+    def keep(counts, overall):
+        seen["counts"] = counts
+        return model.p
+
+    real, hmm.maximise = hmm.maximise, keep
+    try:
+        hmm.baum_welch(docs, model.p, names, np.ones(len(number) + 2))
+    finally:
+        hmm.maximise = real
+    starts, moves, emissions = seen["counts"]
+    n = docs.count()
+    assert np.isclose(emissions.sum(), model.n_all, rtol=1e-5) and np.isclose(starts.sum(), n, rtol=1e-5)
+    assert np.allclose(emissions.sum(axis=1)[: len(number)], [c for _, c in model.top], rtol=1e-4)
 
 
 def test_toxicity(docs, empty, spark):
