@@ -240,6 +240,50 @@ def test_crf_marginals_are_exact():
         assert np.allclose(odds[first : first + n] / (1 + odds[first : first + n]), on / total)
 
 
+def test_crf_expectations_are_exact():
+    rng = np.random.default_rng(12)
+    moves, lengths = rng.normal(size=(2, 2)), np.array([3, 1, 4])
+    unary = rng.normal(size=8)
+    p, clean, pairs = crf.expectations(unary, lengths, moves)
+    for k, (first, n) in enumerate(zip(np.cumsum(lengths) - lengths, lengths, strict=True)):
+        u, total, on, none, moved = unary[first : first + n], 0.0, np.zeros(n), 0.0, np.zeros(4)
+        for tags in itertools.product((0, 1), repeat=int(n)):
+            w = np.exp(sum(u[i] for i in range(n) if tags[i]) + sum(moves[a, b] for a, b in zip(tags, tags[1:])))
+            total += w
+            on += w * np.array(tags)
+            none += w * (not any(tags))
+            for a, b in zip(tags, tags[1:]):
+                moved[2 * a + b] += w
+        assert np.allclose(p[first : first + n], on / total) and np.isclose(clean[k], np.log(none / total)) and np.allclose(pairs[k], moved / total)
+
+
+def test_crf_leaves_unexplained_labels_alone():
+    """Labels of a third of the toxic documents that no word explains don't make their words toxic; without word labels the marks are found."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    texts, label, marked = [], [], []
+    for k in range(600):
+        w = [rng.choice(vocabulary) for _ in range(50)]
+        marked.append(k % 10 < 2)
+        label.append(k % 10 < 3)
+        if marked[-1]:
+            w[rng.randrange(50)] = rng.choice(["grumble", "blasted!"])
+        texts.append(" ".join(w))
+    model = crf.train(texts[:500], [int(y) for y in label[:500]], 0.3)
+    tagger = crf.Tagger(model)
+    odds = tagger.odds(texts[500:])
+    assert [tagger.score(o) >= 0.5 for o in odds] == marked[500:]
+    for text, o in zip(texts[500:], odds, strict=True):
+        assert {w.strip("!") for w, x in zip(text.split(), o, strict=True) if x >= 1} <= {"grumble", "blasted"}
+
+
+def test_near_copies_of_one_label_count_once():
+    rng = random.Random(14)
+    base = [" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(200)) for _ in range(3)]
+    texts = [base[0], base[0] + " end", base[0], base[1], base[2] + " " + base[1][:80], base[2]]
+    assert crf._independent(texts, [0, 0, 1, 0, 1, 1]) == [0, 2, 3, 4]
+
+
 def test_crf_finds_marked_documents():
     rng = random.Random(10)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)]

@@ -201,6 +201,29 @@ def test_toxicity(docs, empty, spark):
     marked = docs.withColumn("text", F.when(F.col("doc_id").between(0, 59) & (F.col("doc_id") % 5 == 2), F.concat("text", F.lit(" Grumble!"))).otherwise(F.col("text")))
     rows = by_id(crf.held_out_scores(marked, labels))
     assert len(rows) == 71 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows.values())
+    assert [k for k in range(60) if rows[k].predicted] == list(range(2, 60, 5))
+    odd = spark.createDataFrame([(None, "Grumble!"), (None, None), (99, "clean " * 40_000), (99, "clean " * 40_000)], "doc_id long, text string")
+    model = crf.fit(marked, labels.unionByName(labels.selectExpr("doc_id", "quality", "0 as toxic")))  # of two labels the higher counts
+    both = marked.select("doc_id", "text").unionByName(odd)
+
+    def plain(text):
+        """Forward-backward in plain probabilities, word by word."""
+        u = [np.exp(model.unary(w)) for w in (text or "").lower().split()]
+        m, ahead, back = np.exp(model.moves), [], [np.ones(2)]
+        for e in u:
+            a = np.array([1.0, e]) if not ahead else (ahead[-1] @ m) * [1.0, e]
+            ahead.append(a / a.sum())
+        for e in u[:0:-1]:
+            b = m @ (back[-1] * [1.0, e])
+            back.append(b / b.sum())
+        p = [(a * b)[1] / (a * b).sum() for a, b in zip(ahead, back[::-1])]
+        x, y = (np.clip(max(np.log(q / (1 - q)) for q in p), -15, 15), np.log1p(sum(p))) if p else (-15.0, 0.0)
+        c, f, g = model.document
+        return 1 / (1 + np.exp(-(c + f * x + g * y)))
+
+    want = sorted((str(r.doc_id), round(plain(r.text), 6)) for r in both.collect())
+    got = sorted((str(r.doc_id), round(r.score, 6)) for r in crf.tag(both, model).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-5)
     assert crf.held_out_scores(empty, labels).count() == 0
     nothing = crf.held_out_scores(docs, labels.where("toxic = 0")).collect()
     assert {r.score for r in nothing} == {0.0}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,16 +12,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import fold, link_roots, texts_in_chunks
+from wirelake.llm.common import fold, texts_in_chunks
 
 #: Labelled documents of each class that the model is fitted on, about (drawn by a hash of doc_id), and the longest of them in characters.
 SAMPLE, LONGEST = 1200, 20_000
-#: A word of a toxic document is labelled toxic if one of its features is in so many toxic documents and so many times as often as in clean ones.
-SEED_DOCS, SEED_RATIO = 8, 12.0
 #: A feature has a weight if so many sample documents have it.
-LEAST_DOCS = 4
-#: Training: words of a sequence, sequences of a step, passes, step size, pull to zero.
-WINDOW, BATCH, PASSES, RATE, DECAY = 48, 1024, 4, 0.5, 1e-6
+LEAST_DOCS = 2
+#: Share of the toxic labels that no word explains; least hashes by which near copies are told.
+MISLABELLED, MINIMA = 0.2, 8
+#: Training: documents of a step, passes and steps at least, step size, pull to zero.
+BATCH, PASSES, STEPS, RATE, DECAY = 128, 4, 60, 0.1, 1e-2
+#: To begin with: log odds of a word, standard errors taken off a feature's weight.
+START_BIAS, DOUBT = -4.0, 2.0
 #: Words whose score one worker keeps.
 CACHE = 300_000
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -47,8 +50,8 @@ def words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def marginal_odds(unary: np.ndarray, first: np.ndarray, length: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Odds that each word is toxic: forward-backward over all sequences at once, longest first. Messages are ratios, so they can't overflow."""
+def ratios(unary: np.ndarray, first: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of all sequences at once, as ratios of toxic to clean, which can't overflow; their product is each word's odds."""
     order = np.argsort(-length, kind="stable")
     first, length = first[order], length[order]
     e = np.exp(np.clip(unary, -30, 30))
@@ -68,120 +71,134 @@ def marginal_odds(unary: np.ndarray, first: np.ndarray, length: np.ndarray, move
         at = first[:n] + t
         q = e[at + 1] * back[at + 1]
         back[at] = (tc + q * tt) / (cc + q * ct)
+    return ahead, back
+
+
+def marginal_odds(unary: np.ndarray, first: np.ndarray, length: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Odds that each word is toxic, by forward-backward."""
+    ahead, back = ratios(unary, first, length, moves)
     return ahead * back
 
 
-def _independent(texts: list[str]) -> list[int]:
-    """One of each group of near copies, which would otherwise count a document's words many times."""
-    keys: dict[tuple[int, int], int] = {}
-    a, b = [], []
-    for i, text in enumerate(texts):
+def expectations(unary: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sequences that follow each other, none empty: each word's probability to be toxic, the log probability of each sequence to
+    have no toxic word, and its expected moves [sequence, from * 2 + to]."""
+    first = np.cumsum(length) - length
+    ahead, back = ratios(unary, first, length, moves)
+    e, m = np.exp(np.clip(unary, -30, 30)), np.exp(moves)
+    odds = ahead * back
+    inner = np.ones(len(unary), bool)
+    last = first + length - 1
+    inner[last] = False
+    at = np.flatnonzero(inner)
+    r, q = ahead[at], e[at + 1] * back[at + 1]
+    each = np.stack([np.full(len(at), m[0, 0]), m[0, 1] * q, r * m[1, 0], r * q * m[1, 1]], axis=1)
+    each /= each.sum(axis=1, keepdims=True)
+    owner = np.repeat(np.arange(len(length)), length)[at]
+    pairs = np.stack([np.bincount(owner, each[:, k], len(length)) for k in range(4)], axis=1)
+    clean = (length - 1) * moves[0, 0] - np.bincount(owner, np.log(m[0, 0] + r * m[1, 0]), len(length)) - np.log1p(ahead[last])
+    return odds / (1 + odds), clean, pairs
+
+
+def _independent(texts: list[str], toxic: list[int]) -> list[int]:
+    """One of each group of near copies with one label, which would otherwise count a document's words many times.
+
+    A text goes if most of its MINIMA least hashes of three-word grams are those of one text before it.
+    """
+    keys: dict[tuple[int, int, int], int] = {}
+    kept = []
+    for i, (text, y) in enumerate(zip(texts, toxic, strict=True)):
         w = text.split()
-        hashes = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))]
-        for seed in range(4):
-            key = seed, min(h * (2 * seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for h in hashes)
-            if (j := keys.setdefault(key, i)) != i:
-                a.append(i)
-                b.append(j)
-    roots = link_roots(len(texts), [(np.array(a, np.int64), np.array(b, np.int64))]) if a else np.arange(len(texts))
-    return np.flatnonzero(roots == np.arange(len(texts))).tolist()
+        hashes = np.array([xxhash.xxh64_intdigest(" ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))], np.uint64)
+        mine = [(y, seed, int((hashes * np.uint64((2 * seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min())) for seed in range(MINIMA)]
+        before = Counter(keys[k] for k in mine if k in keys)
+        if not before or max(before.values()) <= MINIMA // 2:
+            kept.append(i)
+            for k in mine:
+                keys.setdefault(k, i)
+    return kept
+
+
+def first_weights(docs: list[list[str]], of_word: dict[str, list[str]], label: np.ndarray, index: dict[str, int]) -> np.ndarray:
+    """How much more often each feature is in toxic documents: the log ratio less DOUBT standard errors, where that is positive."""
+    have = np.zeros((2, len(index)))
+    for d, y in zip(docs, label, strict=True):
+        have[y, sorted({index[f] for w in set(d) for f in of_word[w] if f in index})] += 1
+    total = np.bincount(label, minlength=2)[:, None] + 1.0
+    rate = np.log((have + 0.5) / total)
+    error = np.sqrt((1 / (have + 0.5) - 1 / total).sum(axis=0))
+    return np.maximum(0.0, rate[1] - rate[0] - DOUBT * error)
 
 
 def train(texts: list[str], toxic: list[int], prior: float) -> Model | None:
-    """Fits the model to labelled texts; prior is the share of toxic ones among all. None without both classes.
+    """Fits the model to texts with a label each; prior is the share of toxic ones among all. None without both classes.
 
-    Words are labelled from the documents' labels: those of toxic documents whose features set toxic documents apart.
+    Which words are toxic is not given: their labels are hidden. A document labelled clean has no toxic word, one
+    labelled toxic has one at least, apart from a share MISLABELLED of toxic labels that no word explains. So a toxic
+    document's expected features are those of the chain's distribution without the path on which all words are clean,
+    weighted by how likely its label is explained at all; the gradient is their difference from the model's own
+    expectations, for words and for moves alike, by forward-backward over whole documents.
     """
-    rows = _independent(texts)
+    rows = [i for i in _independent(texts, toxic) if words(texts[i])]
     texts, toxic = [texts[i] for i in rows], [toxic[i] for i in rows]
     n = [toxic.count(0), toxic.count(1)]
     if not min(n):
         return None
     docs = [words(t) for t in texts]
     of_word = {w: features(w) for d in docs for w in set(d)}
-    counts: dict[str, list[int]] = {}
-    for d, y in zip(docs, toxic, strict=True):
-        for f in {f for w in set(d) for f in of_word[w]}:
-            counts.setdefault(f, [0, 0])[y] += 1
-    ratio = {f: (b + 0.5) / (n[1] + 1) * (n[0] + 1) / (a + 0.5) for f, (a, b) in counts.items()}
-    seeds = {f for f, r in ratio.items() if r >= SEED_RATIO and counts[f][1] >= SEED_DOCS}
-    index = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if sum(c) >= LEAST_DOCS))}
+    counts: Counter = Counter(f for d in docs for f in {f for w in set(d) for f in of_word[w]})
+    index = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= LEAST_DOCS))}
     ids = {w: [index[f] for f in fs if f in index] for w, fs in of_word.items()}
-    seeded = {w for w, fs in of_word.items() if not seeds.isdisjoint(fs)}
-    # sequences of WINDOW words; of clean and of toxic documents alike
-    flat = [(w, int(y and w in seeded)) for d, y in zip(docs, toxic, strict=True) for w in d]
-    flat = flat[: len(flat) // WINDOW * WINDOW] or flat + [("", 0)] * (WINDOW - len(flat))
-    label = np.array([y for _, y in flat], np.float64).reshape(-1, WINDOW)
-    at = [ids.get(w, []) for w, _ in flat]
+    length = np.fromiter(map(len, docs), np.int64, len(docs))
+    at = [ids[w] for d in docs for w in d]
     size = np.fromiter(map(len, at), np.int64, len(at))
     column = np.fromiter((i for x in at for i in x), np.int64, int(size.sum()))
-    begin = np.concatenate(([0], np.cumsum(size)))
-    w, bias, moves = np.zeros(len(index)), -2.0, np.zeros((2, 2))
+    begin, first = np.cumsum(size) - size, np.cumsum(length) - length
+    label = np.array(toxic)
+    weight = np.where(label == 1, 0.5 / n[1], 0.5 / n[0]) * len(docs)
+    w, bias, moves = first_weights(docs, of_word, label, index), START_BIAS, np.zeros((2, 2))
     seen, seen_moves = np.full(len(index) + 1, 1e-8), np.full((2, 2), 1e-8)
-    order = np.random.default_rng(5)
-    for _ in range(PASSES):
-        shuffled = order.permutation(len(label))
-        for k in range(0, len(label), BATCH):
-            rows = np.sort(shuffled[k : k + BATCH])
-            tokens = (rows[:, None] * WINDOW + np.arange(WINDOW)).ravel()
+    rng = np.random.default_rng(5)
+    per_pass = -(-len(docs) // BATCH)
+    for _ in range(max(PASSES, -(-STEPS // per_pass))):
+        # documents of about one length make a step, since it takes as long as the longest
+        alike = np.argsort(length * rng.uniform(0.7, 1.3, len(docs)))
+        for k in rng.permutation(np.arange(0, len(docs), BATCH)):
+            rows = np.sort(alike[k : k + BATCH])
+            lengths = length[rows]
+            tokens = np.repeat(first[rows] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             sizes = size[tokens]
-            where = np.repeat(begin[tokens] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            cols, row = column[where], np.repeat(np.arange(len(tokens)), sizes)
+            cols = column[np.repeat(begin[tokens] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            row = np.repeat(np.arange(len(tokens)), sizes)
             u = bias + np.bincount(row, w[cols], len(tokens))
-            lengths = np.full(len(rows), WINDOW)
-            odds = marginal_odds(u, np.arange(len(rows)) * WINDOW, lengths, moves)
-            p = odds / (1 + odds)
-            miss = p - label[rows].ravel()
+            p, clean, pairs = expectations(u, lengths, moves)
+            y, some = label[rows], -np.expm1(np.minimum(clean, -1e-12))
+            # of a toxic label: how much each path with a toxic word counts, and what is left for the clean path
+            up = np.where(y == 1, (1 - MISLABELLED) / (MISLABELLED + (1 - MISLABELLED) * some), 0.0)
+            owner = np.repeat(np.arange(len(rows)), lengths)
+            share = weight[rows] / len(rows)
+            miss = p * (1 - up[owner]) * share[owner]
             g = np.bincount(cols, miss[row], len(index) + 1)
             g[-1] = miss.sum()
-            g[:-1] += DECAY * len(tokens) * w
+            g[:-1] += DECAY * w
             seen += g * g
             step = RATE * g / np.sqrt(seen)
             w -= step[:-1]
             bias -= step[-1]
-            y, q = label[rows], p.reshape(-1, WINDOW)
-            # expected moves from the marginals of neighbours, which the unaries nearly decide
-            have = [[((1 - y[:, :-1]) * (1 - y[:, 1:])).sum(), ((1 - y[:, :-1]) * y[:, 1:]).sum()], [(y[:, :-1] * (1 - y[:, 1:])).sum(), (y[:, :-1] * y[:, 1:]).sum()]]
-            pair = pair_marginals(u.reshape(-1, WINDOW), q, moves)
-            g = pair - np.array(have)
+            moved = (pairs * ((1 - up) * share)[:, None]).sum(axis=0)
+            moved[0] = -moved[1:].sum()  # the moves of a sequence are as many on both sides
+            g = moved.reshape(2, 2)
             seen_moves += g * g
             moves = np.clip(moves - RATE * g / np.sqrt(seen_moves), -4, 4)
     model = Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, float(bias), moves, (0.0, 1.0, 1.0))
     score = {v: model.bias + sum(model.weights.get(f, 0.0) for f in fs) for v, fs in of_word.items()}
-    x = np.array([document_features(model, np.array([score[v] for v in d])) for d in docs])
-    share = np.where(np.array(toxic) == 1, prior / n[1], (1 - prior) / n[0])
-    model.document = fit_document(x, np.array(toxic, float), share)
+    odds = marginal_odds(np.fromiter((score[v] for d in docs for v in d), np.float64, int(length.sum())), first, length, moves)
+    x = np.array([summary(odds[a : a + k]) for a, k in zip(first, length, strict=True)])
+    share = np.where(label == 1, prior / n[1], (1 - prior) / n[0])
+    model.document = fit_document(x, label.astype(float), share)
     return model
 
 
-def pair_marginals(u: np.ndarray, p: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Expected number of moves between clean and toxic in sequences of one length: [from, to].
-
-    Given a word's marginal, the next word's state depends on the messages that its own odds imply.
-    """
-    e = np.exp(np.clip(u, -30, 30))
-    m = np.exp(moves)
-    n, length = u.shape
-    ahead = np.empty_like(e)
-    ahead[:, 0] = e[:, 0]
-    for t in range(1, length):
-        r = ahead[:, t - 1]
-        ahead[:, t] = e[:, t] * (m[0, 1] + r * m[1, 1]) / (m[0, 0] + r * m[1, 0])
-    odds = p / np.maximum(1e-300, 1 - p)
-    out = np.zeros((2, 2))
-    for t in range(length - 1):
-        r, q = ahead[:, t], odds[:, t + 1] / np.maximum(1e-300, ahead[:, t + 1]) * e[:, t + 1]
-        each = np.stack([np.full(n, m[0, 0]), m[0, 1] * q, r * m[1, 0], r * q * m[1, 1]])
-        out += (each / each.sum(axis=0)).sum(axis=1).reshape(2, 2)
-    return out
-
-
-def document_features(model: Model, u: np.ndarray) -> tuple[float, float]:
-    if not len(u):
-        return summary(np.zeros(0))
-    return summary(marginal_odds(u, np.zeros(1, np.int64), np.array([len(u)]), model.moves))
-
-
 def summary(odds: np.ndarray) -> tuple[float, float]:
     """Log odds of the likeliest word and log of one more than the expected number of toxic words."""
     if not len(odds):
