@@ -89,6 +89,78 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def plain_first_of_groups(rows, least=0.8, shingle=5):
+    """(doc_id, text) of the first row of each group of texts joined by exact Jaccard similarity of word shingles."""
+
+    def grams(text):
+        w = (text or "").encode().lower().split()
+        return frozenset(tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))) if w else frozenset()
+
+    sets, root = [grams(t) for _, t in rows], list(range(len(rows)))
+    hash_ = {t: None for _, t in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, x in enumerate(sets):
+        for m, y in enumerate(sets[:k]):
+            if x == y or (x and y and len(x & y) >= least * len(x | y)):
+                a, b = sorted((find(k), find(m)))
+                root[b] = a
+    groups = {}
+    for k, row in enumerate(rows):
+        groups.setdefault(find(k), []).append(row)
+    return {min((i is None, i) if i is not None else (True, 0) for i, _ in g) for g in groups.values()}, len(groups), hash_
+
+
+@pytest.mark.parametrize("tile", [16, simhash.TILE])
+def test_without_near_copies(docs, empty, spark, tile):
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randint(100, 300))]
+        rows.append((1000 + k, " ".join(w)))
+        for j in range(k % 4):
+            v = list(w)
+            v[rng.randrange(len(v))] = "changed"  # five of a hundred or more shingles
+            rows.append((2000 + 10 * k + j, " ".join(v)))
+        half = list(w)
+        half[: len(w) // 3] = reversed(half[: len(w) // 3])
+        rows.append((3000 + k, " ".join(half)))
+    rows += [(None, rows[0][1]), (None, "only here without an id"), (1000, rows[5][1] + " tail"), rows[9], rows[9], (5000, None), (5001, ""), (5002, " ")]
+    made = spark.createDataFrame([(*r, "en", "s0", 1) for r in rows], DOCS)
+    both = docs.select(*made.columns).unionByName(made).withColumn("t", F.lit("clash")).withColumn("node", F.lit("clash"))
+    got = simhash.without_near_copies(both, tile=tile)
+    assert got.columns == both.columns
+    kept = [r.doc_id for r in got.collect()]
+    first, groups, _ = plain_first_of_groups([(r.doc_id, r.text) for r in both.collect()])
+    assert len(kept) == groups and {(i is None, i or 0) for i in kept} == first
+    assert simhash.without_near_copies(empty).count() == 0
+
+
+def test_forest_is_lightest():
+    rng = np.random.default_rng(6)
+    n, m = 60, 300
+    a, b, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+    keep = a != b
+    a, b, w = a[keep], b[keep], w[keep]
+    root, total, edges = list(range(n)), 0, 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k in np.argsort(w, kind="stable"):
+        x, y = find(a[k]), find(b[k])
+        if x != y:
+            root[x], total, edges = y, total + int(w[k]), edges + 1
+    at = simhash.forest(n, a, b, w)
+    assert (len(at), int(w[at].sum())) == (edges, total) and len(simhash.forest(3, a[:0], b[:0], w[:0])) == 0
+
+
 def test_mixing(docs, empty):
     weights = {"s0": 3, "s1": 2}
     rows = mixing.mix(docs, weights, block_rows=2, group_rows=8).collect()

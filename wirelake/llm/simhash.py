@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wirelake.llm.common import Scratch, ascii_lower, link_roots
 from wirelake.llm.graph import components
@@ -14,25 +17,50 @@ from wirelake.llm.graph import components
 #: Distinct fingerprints in one tile; two tiles and one block of comparisons are what a task holds.
 TILE = 65536
 BLOCK = 256
+#: Most shuffle partitions of the tile pairs.
+MOST_TASKS = 20_000
+#: 64-bit words of a wide fingerprint; standard deviations of the differing bits that a search for a similarity allows for.
+WIDE, SURE = 4, 3.3
+#: Candidate edges of one task before they are cut down to a forest.
+EDGES = 2_000_000
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64-bit SimHash over word shingles with repeats; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of all word shingles with repeats; of the whole sequence if there are fewer words, of none without words."""
     words = ascii_lower(text).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 of none."""
     counts = np.zeros(64, np.int64)
-    for k in range(0, n, 65536):
+    for k in range(0, len(hashes), 65536):
         bits = np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """64-bit SimHash over word shingles with repeats; 0 without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
+    """SimHash over the set of word shingles, of WIDE words: each from another mix of the hashes."""
+    hashes, out = np.unique(shingle_hashes(text, shingle)), []
+    for k in range(WIDE):
+        with np.errstate(over="ignore"):
+            x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            out.append(majority(x ^ (x >> np.uint64(29)) if k else hashes))
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -46,6 +74,18 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, t, fp, fp1, ...): the text's hash and its wide fingerprint as signed longs. A null or blank text has zeros."""
+    names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(WIDE))], names=["doc_id", "t", *names])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, " + ", ".join(f"{n} long" for n in names))
+
+
 def tile_plan(histogram: dict[int, int], tile: int = TILE) -> list[tuple[int, int, int]]:
     """(lowest, highest population count, shards) of the tiles: neighbouring counts are merged up to ``tile`` rows, larger ones split."""
     plan, low, size = [], None, 0
@@ -60,15 +100,16 @@ def tile_plan(histogram: dict[int, int], tile: int = TILE) -> list[tuple[int, in
     return plan
 
 
-def compare(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarray:
-    """Smallest index linked to each of the fingerprints left (and right, if it is another tile), which follow each other.
+def close_pairs(left: np.ndarray, right: np.ndarray | None, first: int, radius: int, done=lambda a, b: False):
+    """(a, b, bits) of all pairs of fingerprints [row, word] of one tile or of two, which follow each other, block by block.
 
-    Both sides are sorted by the population counts of four 16-bit parts. Blocks whose ranges of counts differ by more
-    than the radius in sum can't hold a link and are skipped; all others are compared in full.
+    Pairs differ in at most ``first`` bits of the first word and ``radius`` of all. Both sides are sorted by the
+    population counts of the first word's 16-bit parts; blocks whose ranges of counts differ by more than ``first`` in
+    sum can't hold a pair and are skipped; ``done`` may skip others; all the rest are compared in full.
     """
 
     def blocks(tile, base):
-        parts = np.bitwise_count(tile.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+        parts = np.bitwise_count(np.ascontiguousarray(tile[:, 0]).view(np.uint16).reshape(-1, 4)).astype(np.int16)
         order = np.lexsort((parts[:, 3], parts[:, 2], parts[:, 1], parts[:, 0], parts.sum(axis=1)))
         out = []
         for k in range(0, len(order), BLOCK):
@@ -80,58 +121,126 @@ def compare(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarr
     a = blocks(left, 0)
     b = a if right is None else blocks(right, len(left))
     low, high = np.array([x[2] for x in b]), np.array([x[3] for x in b])
-    n = len(left) + (0 if right is None else len(right))
-    roots = np.arange(n)
     for i, (bits, at, lo, hi) in enumerate(a):
         gap = np.maximum(0, np.maximum(low - hi, lo - high))
-        near = (gap[:, :4].sum(axis=1) <= radius) & (gap[:, 4] <= radius)
+        near = (gap[:, :4].sum(axis=1) <= first) & (gap[:, 4] <= first)
         for j in np.flatnonzero(near):
-            if right is None and j < i:
+            if (right is None and j < i) or done(at, b[j][1]):
                 continue
-            if (roots[at] == roots[at[0]]).all() and (roots[b[j][1]] == roots[at[0]]).all():
+            other = b[j][0]
+            apart = np.bitwise_count(bits[:, None, 0] ^ other[None, :, 0])
+            x, y = np.nonzero(apart <= first)
+            if right is None and i == j:
+                x, y = x[x < y], y[x < y]
+            if not len(x):
                 continue
-            x, y = np.nonzero(np.bitwise_count(bits[:, None] ^ b[j][0][None, :]) <= radius)
-            if len(x) > (len(at) if right is None and i == j else 0):
-                roots = link_roots(n, [(at[x], b[j][1][y])], roots)
+            total = apart[x, y].astype(np.int16)
+            for k in range(1, bits.shape[1]):
+                total += np.bitwise_count(bits[x, k] ^ other[y, k])
+            keep = total <= radius
+            if keep.any():
+                yield at[x[keep]], b[j][1][y[keep]], total[keep]
+
+
+def compare(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarray:
+    """Smallest index linked to each of the fingerprints left (and right, if it is another tile), which follow each other."""
+    left, right = left.reshape(len(left), -1), None if right is None else right.reshape(len(right), -1)
+    n = len(left) + (0 if right is None else len(right))
+    roots = np.arange(n)
+
+    def joined(a, b):
+        return (roots[a] == roots[a[0]]).all() and (roots[b] == roots[a[0]]).all()
+
+    for x, y, _ in close_pairs(left, right, radius, radius, joined):
+        roots = link_roots(n, [(x, y)], roots)
     return roots
 
 
-def links(scratch: Scratch, distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """Edges (u, v) that join the representatives of all distinct fingerprints (fp, rep) within the radius.
+def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Edges (as indices) of a lightest spanning forest of n nodes: each tree takes its lightest edge to another until none is left."""
+    order = np.lexsort((b, a, weight))
+    a, b = a[order], b[order]
+    roots, kept, live = np.arange(n), [], np.arange(len(order))
+    while len(live):
+        ra, rb = roots[a[live]], roots[b[live]]
+        live, ra, rb = live[ra != rb], ra[ra != rb], rb[ra != rb]
+        if not len(live):
+            break
+        least = np.full(n, len(order))
+        np.minimum.at(least, ra, live)
+        np.minimum.at(least, rb, live)
+        take = np.unique(least[least < len(order)])
+        kept.append(take)
+        roots = link_roots(n, [(a[take], b[take])], roots)
+    return order[np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64)]
+
+
+def closest(left: np.ndarray, right: np.ndarray | None, first: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, bits): of all pairs within the radius those of a lightest spanning forest."""
+    n = len(left) + (0 if right is None else len(right))
+    held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16))], 0
+
+    def cut():
+        a, b, w = (np.concatenate(x) for x in zip(*held))
+        at = forest(n, a, b, w)
+        return a[at], b[at], w[at]
+
+    for found in close_pairs(left, right, first, radius):
+        held.append(found)
+        size += len(found[0])
+        if size > EDGES:
+            held, size = [cut()], 0
+    return cut()
+
 
-    Each pair of tiles is one group; a group returns a star for each of its components instead of all pairs.
+def links(distinct: DataFrame, radius: int, tile: int = TILE, first: int | None = None) -> DataFrame:
+    """Edges (u, v, bits) that join the representatives of all distinct fingerprints (rep, fp, ...) within the radius.
+
+    Each pair of tiles is one group, made in Spark from each tile's range of partners; what a group returns is a star for each of
+    its components (bits is null) or, with ``first``, a lightest spanning forest: the radius is then of all words together.
     """
     spark = distinct.sparkSession
+    words = [c for c in distinct.columns if c.startswith("fp")]
     counted = distinct.withColumn("bits", F.bit_count("fp"))
     plan = tile_plan({r.bits: r.n for r in counted.groupBy("bits").agg(F.count("*").alias("n")).collect()}, tile)
-    tiles = [(low, high, s) for low, high, shards in plan for s in range(shards)]
-    edges = "u long, v long"
-    if not tiles:
-        return spark.createDataFrame([], edges)
-    first = np.concatenate(([0], np.cumsum([shards for *_, shards in plan])))
-    reach = [[j for j in range(len(tiles)) if tiles[j][0] - tiles[i][1] <= radius and tiles[i][0] - tiles[j][1] <= radius] for i in range(len(tiles))]
-    n = len(tiles)
-    pairs = spark.createDataFrame([(i, min(i, j) * n + max(i, j), int(i > j)) for i in range(n) for j in reach[i]], "tile int, pair long, side int")
-    at = F.lit(0)
-    for k, (low, _, shards) in enumerate(plan):
-        at = F.when(F.col("bits") >= low, F.lit(int(first[k])) + F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int")).otherwise(at)
+    schema = "u long, v long, bits int"
+    if not plan:
+        return spark.createDataFrame([], schema)
+    reach = radius if first is None else first
+    begin = np.concatenate(([0], np.cumsum([shards for *_, shards in plan]))).tolist()
+    at, tasks = F.lit(None), 0
+    for k, (low, high, shards) in enumerate(plan):  # at most 65 entries
+        near = [j for j, (other, top, _) in enumerate(plan) if other - high <= reach and low - top <= reach]
+        lo, hi = begin[near[0]], begin[near[-1] + 1] - 1
+        tasks += shards * (hi - lo + 1)
+        here = F.struct((F.lit(begin[k]) + F.pmod(F.xxhash64(*words), F.lit(shards)).cast("int")).alias("tile"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+        at = F.when(F.col("bits") >= low, here).otherwise(at)
+    spread = counted.withColumn("at", at).withColumn("other", F.explode(F.sequence("at.lo", "at.hi")))
+    mine = F.col("at.tile")
+    keyed = spread.select(F.least(mine, "other").alias("a"), F.greatest(mine, "other").alias("b"), (mine > F.col("other")).cast("int").alias("side"), *words, "rep")
 
     def run(table):
-        side, fp, rep = (table.column(c).to_numpy() for c in ("side", "fp", "rep"))
+        side, rep = table.column("side").to_numpy(), table.column("rep").to_numpy()
         order = np.lexsort((rep, side))
-        side, fp, rep = side[order], fp[order].view(np.uint64), rep[order]
-        pair = int(table.column("pair")[0].as_py())
+        fp = np.column_stack([table.column(w).to_numpy()[order].view(np.uint64) for w in words])
+        side, rep = side[order], rep[order]
         cut = int((side == 0).sum())
-        same = pair // n == pair % n
-        if not same and cut in (0, len(fp)):
-            found = np.arange(len(fp))
+        if table.column("a")[0].as_py() == table.column("b")[0].as_py():
+            left, right = fp, None
+        else:
+            left, right = fp[:cut], fp[cut:]
+        if right is not None and not (len(left) and len(right)):
+            x = y = d = np.zeros(0, np.int64)
+        elif first is None:
+            found = compare(left, right, radius)
+            y = np.flatnonzero(found != np.arange(len(fp)))
+            x, d = found[y], None
         else:
-            found = compare(fp if same else fp[:cut], None if same else fp[cut:], radius)
-        on = np.flatnonzero(found != np.arange(len(fp)))
-        return pa.table({"u": pa.array(rep[found[on]], pa.int64()), "v": pa.array(rep[on], pa.int64())})
+            x, y, d = closest(left, right, first, radius)
+        return pa.table({"u": pa.array(rep[x], pa.int64()), "v": pa.array(rep[y], pa.int64()), "bits": pa.nulls(len(x), pa.int32()) if d is None else pa.array(d, pa.int32())})
 
-    spread = counted.withColumn("tile", at).join(F.broadcast(pairs), "tile")  # pairs: bounded by the square of the number of tiles, all made above
-    return spread.select("pair", "side", "fp", "rep").groupBy("pair").applyInArrow(run, edges)
+    # comparisons take long and few bytes: as many partitions as pairs, not as the bytes suggest
+    return keyed.repartition(min(MOST_TASKS, max(1, tasks // 2)), "a", "b").groupBy("a", "b").applyInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, tile: int = TILE) -> DataFrame:
@@ -142,13 +251,67 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, tile: in
     any other; repeated rows come back as often as they are there; an empty table gives an empty result; columns other
     than doc_id and text are not read. Rows with a null doc_id are left out of linking and keep a null component_id.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.table(fingerprints(docs, shingle), "marked")
     known = marked.where("doc_id is not null")
     distinct = scratch.table(known.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    edges = scratch.table(links(scratch, distinct, radius, tile), "edges")
+    edges = scratch.table(links(distinct, radius, tile).select("u", "v"), "edges")
     found = components(scratch, edges)
     classes = scratch.table(distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes")
     joined = marked.join(classes, "fp", "left")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def reach_of(similarity: float, bits: int, sure: float = SURE) -> int:
+    """Differing bits that pairs of at least that Jaccard similarity have at most, but for ``sure`` standard deviations.
+
+    Sets of that similarity have a cosine of 2 J / (1 + J) or more, and a bit differs with their angle's share of pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + sure * math.sqrt(bits * p * (1 - p)))
+
+
+def without_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, tile: int = TILE) -> DataFrame:
+    """The rows of ``docs``, one of each group: that with the smallest doc_id (null last), then by the text's hash and the other columns.
+
+    Groups are joined by pairs of texts whose sets of word shingles have a Jaccard similarity of at least ``least``.
+    Candidates are pairs of wide fingerprints within ``reach_of(least)`` bits, found by tiled exact comparison; of these,
+    a lightest spanning forest of each pair of tiles is held against the shingles themselves, and only confirmed pairs
+    join. Equal wide fingerprints count as equal texts, so all wordless texts, null and blank ones too, are one group;
+    repeated rows are a group as any other copies. An empty table gives an empty result; all columns are returned.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    marked = wide_fingerprints(docs, shingle)
+    words = [c for c in marked.columns if c.startswith("fp")]
+    one = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t")
+    nodes = scratch.table(marked.groupBy(*words).agg(F.min(one).alias("one")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = links(nodes.select(F.col("node").alias("rep"), *words), reach_of(least, 64 * WIDE), tile, reach_of(least, 64, SURE + 1))
+    pairs = scratch.table(found.select("u", "v").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = nodes.join(ends, "node", "left_semi").select("one.doc_id", "one.t", "node")
+    texts = _with_key(docs).select("__wirelake_id", "__wirelake_t", "text")
+    texts = texts.join(wanted, F.col("__wirelake_id").eqNullSafe(F.col("doc_id")) & (F.col("__wirelake_t") == F.col("t"))).select("node", "text")
+
+    def sets(batches):
+        for batch in batches:
+            grams = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
+
+    held = scratch.table(texts.mapInArrow(sets, "node long, grams array<long>").dropDuplicates(["node"]), "grams")
+    a, b = held.select(F.col("node").alias("u"), F.col("grams").alias("x")), held.select(F.col("node").alias("v"), F.col("grams").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = pairs.join(a, "u").join(b, "v").where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("u", "v")
+    joined = components(scratch, scratch.table(alike, "edges"))
+    rooted = nodes.select("node", "one").join(joined.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
+    first = rooted.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("one").alias("one"))
+    first = scratch.table(first.select(F.col("one.doc_id").alias("a"), F.col("one.t").alias("b")), "first")
+    own = _with_key(docs)
+    kept = own.join(first, F.col("__wirelake_id").eqNullSafe(F.col("a")) & (F.col("__wirelake_t") == F.col("b")), "left_semi")
+    # rows that share doc_id and text are together already
+    others = [F.col(c).cast("string") for c in docs.columns if c != "text"]
+    turn = F.row_number().over(Window.partitionBy("__wirelake_id", "__wirelake_t").orderBy(*others))
+    return kept.withColumn("__wirelake_turn", turn).where(F.col("__wirelake_turn") == 1).select(*docs.columns)
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"__wirelake_id": F.col("doc_id").cast("long"), "__wirelake_t": F.xxhash64("text")})
