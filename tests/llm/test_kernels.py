@@ -322,7 +322,7 @@ def test_ngrams_of_one_word():
 
 
 def test_best_keeps_distinct_neighbours():
-    u, v, s = nndescent.best(np.array([1, 1, 1, 2, 1]), np.array([5, 6, 5, 1, 7]), np.array([0.5, 0.9, 0.5, 0.1, 0.7]), 2)
+    u, v, s, _ = nndescent.best(np.array([1, 1, 1, 2, 1]), np.array([5, 6, 5, 1, 7]), np.array([0.5, 0.9, 0.5, 0.1, 0.7]), np.full(5, 2))
     assert list(zip(u.tolist(), v.tolist(), strict=True)) == [(1, 6), (1, 7), (2, 1)]
 
 
