@@ -370,6 +370,20 @@ def test_fingerprints(docs, empty, spark):
         expected.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), lcp.render(a)[0], lcp.render(b)[0], lcp.likeness(a, b)[0], lcp.likeness(a, c)[0]))
     assert sorted(tuple(r) for r in got) == sorted(expected)
     assert lcp.edited(empty).count() == 0
+    # wide ids, one outlier, null and repeated ids in bulk, a very long text
+    rng = random.Random(15)
+    ids = [-(1 << 63), 5, (1 << 63) - 1, 1 << 61, *range(100, 400), *[None] * 300, *[77] * 100]
+    wide = [(i, "long " * 60_000 if i == 5 else " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(rng.randint(0, 40)))) for i in ids]
+    made = Scratch(spark, "wide").table(spark.createDataFrame(wide, "doc_id long, text string").repartition(6), "docs")
+    hashed = {r.text: r.t for r in made.select("text", F.xxhash64("text").alias("t")).collect()}
+    rows = sorted(wide, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    want = []
+    for (i, text), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        cut = len(text) // 3
+        want.append((str(i), hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in lcp.edited(made, group=16).collect()) == sorted(want)
+    per = lcp.neighbours(made, group=16).groupBy("p").agg(F.count("*").alias("n"), F.sum(F.col("extra").cast("int")).alias("more")).collect()
+    assert max(r.n for r in per) < 16 * 10 and {r.more for r in per} == {1} and len(per) > 20
     one = spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")
     assert lcp.edited(one).first().edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
     equal = {r.text: r.fingerprint for r in lcp.fingerprints(docs).collect()}

@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from wirelake.llm.common import Scratch, code_points, texts_in_chunks, with_fields
+from wirelake.llm.common import code_points, texts_in_chunks, with_fields
 
 #: Levels whose phrase names are kept, lowest first; a phrase of level n spans about 2.6 ** n characters.
 LEVELS = (2, 3, 4)
@@ -18,8 +17,8 @@ LEVELS = (2, 3, 4)
 BINS = 64
 #: A level says how alike two texts are if both have so many filled bins.
 ENOUGH = 12
-#: Documents of neighbouring ids that are read together.
-GROUP = 256
+#: Documents of a range of neighbouring ids, ranges at most, and shuffle partitions for them at most.
+GROUP, RANGES, MOST_TASKS = 2048, 65_536, 20_000
 _EMPTY = 0
 
 
@@ -135,79 +134,99 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, with_fields(docs.schema, "fingerprint string"))
 
 
-def neighbours(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """(g, doc_id, text, extra): the documents in groups of neighbouring ids.
+def order_keys(ids: pa.Array, *more: np.ndarray) -> np.ndarray:
+    """Fixed-width byte strings that sort as the documents do: by descending id, null last, then by the other numbers."""
+    known = np.asarray(ids.is_valid())
+    out = np.zeros((len(ids), 9 + 8 * len(more)), np.uint8)
+    out[:, 0] = ~known
+    falling = ~np.where(known, np.asarray(ids.fill_null(0)), 0).astype(np.int64)
+    for k, x in enumerate((falling, *more)):
+        sorted_as = x.view(np.uint64) ^ np.uint64(1 << 63)
+        out[:, 1 + 8 * k : 9 + 8 * k] = sorted_as.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view(f"S{out.shape[1]}").ravel()
 
-    Each group also gets, as its row with extra = true, a copy of the row that follows its own in descending order of
-    doc_id: the largest of the next lower group, or for the lowest group the largest of all.
+
+def neighbours(docs: DataFrame, group: int = GROUP, most: int = RANGES) -> DataFrame:
+    """(p, doc_id, text, extra): the documents in ranges of their order, each sorted within its partition, and one row more.
+
+    The order is by descending doc_id, null last, then by the text's hash, then by place. Ranges begin at drawn rows, one
+    of about ``group``, ``most`` at most, so they hold about as many rows whatever the ids are. The first row of each
+    range is also the last of the range before it, with extra = true; the first of all that of the last one. Texts are
+    moved once.
     """
-    scratch = Scratch(docs.sparkSession, "lcp")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = 1 if low is None else max(1, (high - low) * group // max(1, n))
-    g = F.floor((F.coalesce(F.col("doc_id"), F.lit(low or 0)) - F.lit(low or 0)) / F.lit(width)).cast("long")
-    tops = ids.groupBy(g.alias("g")).agg(F.max("doc_id").alias("top"))
-    # one row for each group: in the order of g; a small table beside the documents
-    order = Window.partitionBy(F.floor(F.col("g") / 4096)).orderBy("g")
-    near = tops.withColumn("above", F.lead("g").over(order))
-    blocks = near.groupBy(F.floor(F.col("g") / 4096).alias("b")).agg(F.min("g").alias("low_g"), F.max("g").alias("high_g"))
-    links = blocks.select("high_g", F.lead("low_g").over(Window.orderBy("b")).alias("next_low"))
-    lowest = F.lit(0)
-    above = scratch.table(near.join(links, near.g == links.high_g, "left").select(F.col("g").alias("_g"), F.col("top").alias("_top"), F.coalesce("above", "next_low", lowest).alias("_above")), "groups")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("g", g)
-    placed = own.join(above, own.g == above["_g"], "left")
-    # of rows that share the largest id, the extra one is picked when the group is sorted
-    one = F.array(F.struct(F.col("g").alias("g"), F.lit(False).alias("extra")))
-    two = F.concat(one, F.array(F.struct(F.col("_above").alias("g"), F.lit(True).alias("extra"))))
-    top = F.col("doc_id").eqNullSafe(F.col("_top"))
-    return placed.select("doc_id", "text", F.explode(F.when(top, two).otherwise(one)).alias("x")).select("x.g", "doc_id", "text", "x.extra")
+    spark = docs.sparkSession
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("m"), "text")
+    keys = keyed.select("doc_id", "t", "m")
+    n = max(1, docs.count())
+    wanted = max(1, min(most, n // group))
+    order = (F.col("doc_id").isNull(), F.desc("doc_id"), F.col("t"), F.col("m"))
+    drawn = keys.where(F.pmod(F.xxhash64("m", "t"), F.lit(1 << 30)) < F.lit(round(wanted / n * (1 << 30))))
+    begins = keys.orderBy(*order).limit(1).toArrow(), drawn.toArrow()  # about ``most`` rows of 24 bytes
+    begins = pa.concat_tables(begins).combine_chunks()
+    held = np.unique(order_keys(begins.column("doc_id").combine_chunks(), *(begins.column(c).to_numpy().astype(np.int64) for c in ("t", "m"))))
+    shared = spark.sparkContext.broadcast(held)
+
+    @F.arrow_udf("long")
+    def place(doc_id: pa.Array, t: pa.Array, m: pa.Array) -> pa.Array:
+        """Twice the range, and one more for its first row."""
+        begins = shared.value
+        own = order_keys(doc_id, np.asarray(t), np.asarray(m))
+        p = np.searchsorted(begins, own, "right") - 1
+        return pa.array(p * 2 + (begins[p] == own))
+
+    placed = keyed.withColumn("at", place("doc_id", "t", "m"))
+    p = F.shiftright("at", 1)
+    ranges = max(1, len(held))
+    before = F.pmod(p - 1, F.lit(ranges))
+    one = F.array(F.struct(p.alias("p"), F.lit(False).alias("extra")))
+    two = F.concat(one, F.array(F.struct(before.alias("p"), F.lit(True).alias("extra"))))
+    both = placed.withColumn("x", F.explode(F.when(F.col("at") % 2 == 1, two).otherwise(one))).select("x.p", "x.extra", "doc_id", "t", "m", "text")
+    # sorted and read as a stream: a range may be larger than a task's memory
+    return both.repartition(min(MOST_TASKS, ranges), "p").sortWithinPartitions("p", "extra", *order).select("p", "doc_id", "text", "extra")
 
 
 def edited(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 
     In the edited text the last third of the code points gives way to the first as many of the next document. A null
-    text counts as empty and a null doc_id comes last. Rows that share a doc_id follow each other by text. One document
-    alone is its own next. An empty table gives an empty result; other columns are not read.
+    text counts as empty and a null doc_id comes last. Rows that share a doc_id follow each other by the hash of their
+    text, equal ones anyhow. One document alone is its own next. An empty table gives an empty result; other columns are
+    not read.
     """
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-    def run(table):
-        ids, extra = table.column("doc_id").to_pylist(), table.column("extra").to_pylist()
-        texts = [t or "" for t in table.column("text").to_pylist()]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, -(ids[i] or 0), texts[i]))
-        rows = [i for i in order if not extra[i]]
-        behind = [i for i in order if extra[i]][:1]
-        parts, chunk, size = [], [], 0
-        for k, i in enumerate(rows):
-            after = rows[k + 1] if k + 1 < len(rows) else (behind or rows)[0]
-            chunk.append((i, after))
-            size += len(texts[i]) * 2
-            if size > 1_000_000 or k + 1 == len(rows):
-                parts.append(part(ids, texts, chunk))
-                chunk, size = [], 0
-        return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in zip(names, [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2], strict=True)})
-
-    def part(ids, texts, chunk):
-        own = [texts[i] for i, _ in chunk]
-        changed = []
-        for i, after in chunk:
-            cut = len(texts[i]) // 3
-            changed.append(texts[i][: len(texts[i]) - cut] + texts[after][:cut])
-        a, b = sketches(own), sketches(changed)
-        tail = sketches([texts[chunk[-1][1]]])
-        following = np.concatenate((a[1:], tail))
-        return pa.table(
-            {
-                "doc_id": pa.array([ids[i] for i, _ in chunk], pa.int64()),
-                "n_chars": pa.array([len(t) for t in own], pa.int64()),
-                "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], pa.string()),
-                "fingerprint": pa.array(render(a), pa.string()),
-                "edited_fingerprint": pa.array(render(b), pa.string()),
-                "near_edited": pa.array(likeness(a, b)),
-                "near_next": pa.array(likeness(a, following)),
-            }
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def part(rows):
+        """Of rows (range, id, text, extra) in order: all but the last and the extra ones."""
+        at = [k for k, r in enumerate(rows[:-1]) if not r[3]]
+        texts = [r[2] for r in rows]
+        changed = [texts[k][: len(texts[k]) - len(texts[k]) // 3] + texts[k + 1][: len(texts[k]) // 3] for k in at]
+        each, b = sketches(texts), sketches(changed)
+        a, following = each[at], each[[k + 1 for k in at]]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([rows[k][1] for k in at], pa.int64()),
+                pa.array([len(texts[k]) for k in at], pa.int64()),
+                pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], pa.string()),
+                pa.array(render(a), pa.string()),
+                pa.array(render(b), pa.string()),
+                pa.array(likeness(a, b), pa.float64()),
+                pa.array(likeness(a, following), pa.float64()),
+            ],
+            names=names,
         )
 
-    return neighbours(docs, group).groupBy("g").applyInArrow(run, schema)
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                row = (*row[:2], row[2].as_py() or "", row[3])
+                held.append(row)
+                size += len(row[2]) * 2
+                if size > 1_000_000 and len(held) > 1:
+                    yield part(held)
+                    held, size = [row], len(row[2])
+        if len(held) > 1:
+            yield part(held)
+
+    return neighbours(docs, group).mapInArrow(run, schema)
