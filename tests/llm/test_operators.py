@@ -182,6 +182,32 @@ def test_mixing(docs, empty):
         mixing.mix(docs, {"s0": 0})
 
 
+@pytest.mark.parametrize("sources", [3, 230, 900])
+def test_mixing_many_sources_and_ids_in_bulk(spark, monkeypatch, sources):
+    monkeypatch.setattr(mixing, "TOGETHER", 40 if sources == 900 else 230)
+    rows = [(None if k % 5 == 0 else 7 if k % 5 == 1 else k, None if k % sources == 2 else f"s{k % sources}", f"text {k % 50}") for k in range(4000)]
+    table = Scratch(spark, "mix").table(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6), "rows")
+    weights = {f"s{k}": 1 + k % 3 for k in range(sources)}
+    got = mixing.mix(table, weights, block_rows=4, group_rows=64).collect()
+    assert sorted((str(r.doc_id), str(r.source)) for r in got) == sorted((str(i), str(s)) for i, s, _ in rows)
+    blocks = {}
+    for r in got:
+        blocks.setdefault(r.slot, {}).setdefault((r.source, r.block), []).append(r.place)
+    assert sorted(blocks) == list(range(len(blocks))) and all(len(b) == 1 for b in blocks.values())
+    assert all(sorted(p) == list(range(len(p))) for b in blocks.values() for p in b.values())
+    placed = mixing.with_places(table, weights, block_rows=4, part_rows=500)
+    out = placed.collect()
+    assert sorted((str(r.doc_id), str(r.source), r.text) for r in out) == sorted((str(i), str(s), t) for i, s, t in rows)
+    assert [(r.mix_slot, r.mix_place) for r in out] == sorted((r.mix_slot, r.mix_place) for r in out) and len({(r.mix_slot, r.mix_place) for r in out}) == 4000
+    by_slot = {}
+    for r in out:
+        by_slot.setdefault(r.mix_slot, set()).add(r.source)
+    assert all(len(x) == 1 for x in by_slot.values()) and sorted(by_slot) == sorted(blocks)
+    assert {k: next(iter(x)) for k, x in by_slot.items()} == {k: next(iter(b))[0] for k, b in blocks.items()}
+    # the rows themselves are moved once
+    assert placed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
 def test_bpe(docs, empty):
     got = [(r.doc_id, r.ids_sha256, r.decoded_sha256, r.n_tokens) for r in bpe.digests(docs, PATH).collect()]
     tiktoken = pytest.importorskip("tiktoken")
