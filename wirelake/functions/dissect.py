@@ -9,11 +9,14 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wirelake.functions.tokens import binary_parts
+
 
 @dataclass(frozen=True)
 class SeparatorConfig:
@@ -63,6 +66,7 @@ NTP = (
     (12, "ntp_ref_id"), (16, "ntp_ref_ts"), (24, "ntp_orig_ts"), (32, "ntp_recv_ts"), (40, "ntp_xmit_ts"),
 )
 RTP = ((1, "rtp_pt"), (2, "rtp_seq"), (4, "rtp_ts"), (8, "rtp_ssrc"), (12, "rtp_payload"))
+# The places and names of the other application protocols.
 #: Application protocols with fixed places: (least payload, places if detailed, places if not, option that decides).
 FIXED = {
     "dhcp": (240, DHCP, ((240, "dhcp_options"),), "parse_dhcp_options"),
@@ -336,39 +340,94 @@ def cuts(places: list[int], size: int) -> list[int]:
     return sorted({p for p in places if 0 < p < size})
 
 
+def _shape(data: bytes, config: SeparatorConfig):
+    """What boundaries depend on when nothing follows the headers; None if something does that is read, or with VLAN tags."""
+    n = len(data)
+    kind = data[12:14]
+    if n < LINK or kind in (b"\x81\x00", b"\x88\xa8"):
+        return (n,) if n < LINK else None
+    if kind == b"\x08\x00" and n >= 34:
+        number, t = data[23], LINK + (data[14] & 15) * 4
+    elif kind == b"\x86\xdd" and n >= 54:
+        number, t = data[20], 54
+    else:
+        return n, kind, -1, -1, -1
+    size = data[t + 12] if number == 6 and n > t + 12 else -1
+    a = t + (size >> 4) * 4 if number == 6 else t + 8
+    if number in (6, 17) and a < n and config.max_depth >= 5 and config.insert_application_fields:
+        return None
+    return n, kind, data[14], number, size
+
+
+def _by_shape(packets: list, config: SeparatorConfig) -> tuple[np.ndarray, list[dict], list, list]:
+    """(number of its result, results, source port, destination port) of packets; those of one shape share a result. -1 for null."""
+    known: dict[tuple, int] = {}
+    codes, found, src, dst = np.full(len(packets), -1), [], [None] * len(packets), [None] * len(packets)
+    for k, d in enumerate(packets):
+        if d is None:
+            continue
+        key = _shape(d, config)
+        code = None if key is None else known.get(key)
+        if code is None:
+            code = len(found)
+            found.append(boundaries(d, config))
+            if key is not None:
+                known[key] = code
+        codes[k] = code
+        if found[code]["src_port"] is not None:
+            t = LINK + (d[14] & 15) * 4 if found[code]["l3"] == "ipv4" else 54
+            src[k], dst[k] = d[t] << 8 | d[t + 1], d[t + 2] << 8 | d[t + 3]
+    return codes, found, src, dst
+
+
 def dissect(data: Column, config: SeparatorConfig = SeparatorConfig()) -> Column:
-    """RESULT of each packet, by Arrow batches; null for null."""
+    """RESULT of each packet, by Arrow batches; null for null. Packets of one shape are walked once a batch."""
 
     @F.arrow_udf(RESULT)
     def run(data: pa.Array) -> pa.Array:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        return pa.array([None if d is None else boundaries(d, config) for d in data.to_pylist()], to_arrow_type(RESULT))
+        kind = to_arrow_type(RESULT)
+        codes, found, src, dst = _by_shape(data.to_pylist(), config)
+        at = pa.array(codes, mask=codes < 0)
+        own = {"src_port": src, "dst_port": dst}
+        parts = [pa.array(own[f.name], f.type) if f.name in own else pa.array([x[f.name] for x in found], f.type).take(at) for f in kind]
+        return pa.StructArray.from_arrays(parts, fields=list(kind), mask=pa.array(codes < 0))
 
     return run(data)
 
 
 def separated_tokens(data: Column, config: SeparatorConfig = SeparatorConfig(), offset: int = 6, separator: int = 5) -> Column:
-    """Ids of the bytes with a separator at each boundary."""
+    """Ids of the bytes with a separator at each boundary; packets of one shape are filled in together."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def run(data: pa.Array) -> pa.Array:
-        out = []
-        for d in data.to_pylist():
-            if d is None:
-                out.append(None)
-                continue
-            ids, last = [], 0
-            for at in cuts([o["offset"] for o in boundaries(d, config)["offsets"]], len(d)):
-                ids += [b + offset for b in d[last:at]]
-                ids.append(separator)
-                last = at
-            out.append(ids + [b + offset for b in d[last:]])
-        return pa.array(out, pa.list_(pa.int32()))
+        codes, found, _, _ = _by_shape(data.to_pylist(), config)
+        begin, values = binary_parts(data)
+        size = np.where(codes < 0, 0, np.diff(begin))
+        places = [cuts([o["offset"] for o in x["offsets"]], int(n)) for x, n in zip(found, _first_sizes(codes, size, len(found)), strict=True)]
+        extra = np.array([*map(len, places), 0])[codes]
+        ends = np.concatenate(([0], np.cumsum(size + extra)))
+        out = np.empty(int(ends[-1]), np.int32)
+        order = np.argsort(codes, kind="stable")
+        edges = np.searchsorted(codes[order], np.arange(len(found) + 1))
+        for code, where in enumerate(places):
+            rows = order[edges[code] : edges[code + 1]]
+            n = int(size[rows[0]])
+            block = values[begin[rows][:, None] + np.arange(n)].astype(np.int32) + offset
+            out[ends[rows][:, None] + np.arange(n + len(where))] = np.insert(block, where, separator, axis=1)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out), mask=pa.array(codes < 0))
 
     return run(data)
 
 
+def _first_sizes(codes: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """The size of the packets of each result; packets of one result have one size."""
+    out = np.zeros(n, np.int64)
+    out[codes[codes >= 0]] = size[codes >= 0]
+    return out
+
+
 def separated_by_fields(data: Column, fields: Column, offset: int = 5, separator: int = 3) -> Column:
     """Ids with a separator between the given fields (array of struct start, end), by start; what lies between fields stays as it is.
 
@@ -416,11 +475,11 @@ def malformed(packets: DataFrame, config: SeparatorConfig = SeparatorConfig()) -
 
 
 def _byte(data: Column, at: Column) -> Column:
-    return F.conv(F.hex(F.substring(data, at + 1, F.lit(1))), 16, 10).cast("int")
+    return F.ascii(F.decode(F.substring(data, at + 1, F.lit(1)), "ISO-8859-1"))
 
 
 def _word(data: Column, at: Column) -> Column:
-    return F.conv(F.hex(F.substring(data, at + 1, F.lit(2))), 16, 10).cast("int")
+    return _byte(data, at) * 256 + _byte(data, at + 1)
 
 
 def headers_native(data: Column) -> Column:

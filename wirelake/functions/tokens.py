@@ -13,7 +13,7 @@ from wirelake.functions.vocab import FIELD, RAW, TEXT, TOKEN, Vocabulary, id_to_
 _IDS = T.ArrayType(T.IntegerType())
 
 
-def _binary(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def binary_parts(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a binary array without copying the bytes."""
     data = data.cast(pa.large_binary())
     _, offsets, values = data.buffers()
@@ -22,7 +22,7 @@ def _binary(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shifted(data: pa.Array, offset: int) -> pa.Array:
-    at, values = _binary(data)
+    at, values = binary_parts(data)
     ids = values[at[0] : at[-1]].astype(np.int32) + np.int32(offset)
     mask = data.is_null() if data.null_count else None
     return pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(ids), mask=mask)
@@ -199,7 +199,7 @@ def shifted_text(data: Column, shift: int = 1) -> Column:
 
     @F.arrow_udf(T.StringType())
     def run(data: pa.Array) -> pa.Array:
-        at, values = _binary(data)
+        at, values = binary_parts(data)
         text = (values[at[0] : at[-1]].astype("<u4") + np.uint32(shift)).tobytes().decode("utf-32-le")
         at = (at - at[0]).tolist()
         return pa.array([None if not ok else text[a:b] for ok, a, b in zip(data.is_valid().to_pylist(), at, at[1:])], pa.string())

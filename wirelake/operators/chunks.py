@@ -11,8 +11,15 @@ from wirelake.functions.tokens import byte_tokens
 from wirelake.functions.vocab import TOKEN, Vocabulary
 
 
-def packet_sequences(packets: DataFrame, v: Vocabulary = TOKEN, separators: bool = True, bos: bool = False, eos: bool = False, fields: SeparatorConfig | None = None) -> DataFrame:
-    """(path, packet_index, ids): each packet's ids, with <pkt> in front of all but the first of a file, <bos> and <eos> at the file's ends, and with ``fields`` <sep> between fields."""
+#: Packets whose lengths one running sum adds up.
+RUN = 4096
+
+
+def packet_sequences(packets: DataFrame, v: Vocabulary = TOKEN, separators: bool = True, bos: bool = False, eos: bool = False, fields: SeparatorConfig | None = None, dense: bool = True) -> DataFrame:
+    """(path, packet_index, ids): each packet's ids, with <pkt> in front of all but the first of a file, <bos> and <eos> at the file's ends, and with ``fields`` <sep> between fields.
+
+    Indices run from 0 in each file if ``dense``; otherwise the first is looked up, as is the last for <eos>: one row a file.
+    """
     ids = byte_tokens(F.col("data"), v) if fields is None else separated_tokens(F.col("data"), fields, v.offset, v.specials["<sep>"])
     out = packets.where("data is not null").select("path", "packet_index", ids.alias("ids"))
     s = v.specials
@@ -20,14 +27,16 @@ def packet_sequences(packets: DataFrame, v: Vocabulary = TOKEN, separators: bool
     def one(cond, name):
         return F.when(cond, F.array(F.lit(s[name]))).otherwise(F.array().cast("array<int>"))
 
-    parts = [F.col("ids")]
+    parts, begin = [F.col("ids")], F.lit(0)
+    if eos or not dense:
+        ends = packets.where("data is not null").groupBy("path").agg(F.min("packet_index").alias("_first"), F.max("packet_index").alias("_last"))
+        out = out.join(ends, "path")
+        begin = begin if dense else F.col("_first")
     if separators and "<pkt>" in s:
-        parts.insert(0, one(F.col("packet_index") > 0, "<pkt>"))
+        parts.insert(0, one(F.col("packet_index") > begin, "<pkt>"))
     if bos:
-        parts.insert(0, one(F.col("packet_index") == 0, "<bos>"))
+        parts.insert(0, one(F.col("packet_index") == begin, "<bos>"))
     if eos:
-        last = F.max("packet_index").over(Window.partitionBy("path"))
-        out = out.withColumn("_last", last)
         parts.append(one(F.col("packet_index") == F.col("_last"), "<eos>"))
     return out.select("path", "packet_index", F.concat(*parts).alias("ids"))
 
@@ -41,12 +50,15 @@ def file_sequence(sequences: DataFrame) -> DataFrame:
 def cut(sequences: DataFrame, size: int = 2048) -> DataFrame:
     """(path, local_idx, num_tokens, tokens): a file's ids in chunks of ``size``, the last shorter.
 
-    A file is never put together: each packet is placed by a running sum of lengths and cut where chunks end; only the
-    pieces of one chunk meet.
+    A file is never put together: each packet is placed by running sums of lengths, over the runs of RUN indices of a file
+    and within each, and cut where chunks end; only the pieces of one chunk meet.
     """
     n = F.size("ids")
-    before = F.coalesce(F.sum(n).over(Window.partitionBy("path").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sequences.where(n > 0).withColumn("start", before)
+    runs = sequences.where(n > 0).withColumn("run", F.floor(F.col("packet_index") / RUN))
+    per_run = runs.groupBy("path", "run").agg(F.sum(n).alias("k"))
+    first = per_run.select("path", "run", (F.sum("k").over(Window.partitionBy("path").orderBy("run")) - F.col("k")).alias("first"))
+    within = F.coalesce(F.sum(n).over(Window.partitionBy("path", "run").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = runs.withColumn("within", within).join(first, ["path", "run"]).withColumn("start", F.col("first") + F.col("within"))
     first, last = F.expr(f"start div {size}"), F.expr(f"(start + size(ids) - 1) div {size}")
     pieces = placed.select("path", "packet_index", "start", "ids", F.explode(F.sequence(first, last)).alias("local_idx"))
     lo = F.greatest(F.col("local_idx") * size - F.col("start"), F.lit(0))

@@ -118,26 +118,20 @@ def piece_frequency(spark, sf_dir):
 
 
 def chunk_manifest(spark, sf_dir):
-    made = chunks.cut(chunks.packet_sequences(_indexed(document_packets(spark, sf_dir))), CHUNK)
+    made = chunks.cut(chunks.packet_sequences(document_packets(spark, sf_dir), dense=False), CHUNK)
     numbered = chunks.number(made)
     return numbered.select("chunk_idx", "filename", "source_file", "num_tokens")
 
 
-def _indexed(packets):
-    """Packets numbered from 0 within each file."""
-    w = Window.partitionBy("path").orderBy("packet_index")
-    return packets.withColumn("packet_index", F.row_number().over(w) - 1)
-
-
 def chunk_totals(spark, sf_dir):
-    made = chunks.number(chunks.cut(chunks.packet_sequences(_indexed(document_packets(spark, sf_dir))), CHUNK))
+    made = chunks.number(chunks.cut(chunks.packet_sequences(document_packets(spark, sf_dir), dense=False), CHUNK))
     sizes = document_packets(spark, sf_dir).groupBy("path").agg(F.sum(F.octet_length("data")).alias("length"))
     return chunks.manifest(chunks.source_files(made, sizes))
 
 
 def conversation_chunks(spark, sf_dir):
     """Digest of each chunk of 64 tokens of every conversation."""
-    made = chunks.cut(chunks.packet_sequences(_indexed(turn_packets(spark, sf_dir))), 64)
+    made = chunks.cut(chunks.packet_sequences(turn_packets(spark, sf_dir), dense=False), 64)
     return made.select(F.col("path").alias("conv_id"), "local_idx", "num_tokens", _digest(F.col("tokens")).alias("tokens_md5"))
 
 
@@ -253,12 +247,17 @@ def frame_headers(spark, sf_dir):
 
 
 def frame_boundaries(spark, sf_dir):
-    """The same by the dissector, with separators put in."""
-    ids = dissect.separated_tokens(F.col("data"))
-    d = dissect.dissect(F.col("data"))
-    rows = _frames(spark, sf_dir).select(d.alias("d"), ids.alias("ids"))
-    flat = rows.select("d.l3", "d.l4", "d.src_port", F.size("ids").alias("n_tokens"), F.array_join(F.transform(sequences.separator_positions(F.col("ids"), 5), lambda x: x.cast("string")), ",").alias("places"))
-    return flat.groupBy("l3", "l4", "n_tokens", "places").agg(F.count("*").alias("n"), F.sum("src_port").alias("ports"))
+    """The same by the dissector: names of the boundaries, and ports."""
+    found = _frames(spark, sf_dir).select(dissect.dissect(F.col("data")).alias("d"))
+    flat = found.select("d.l3", "d.l4", "d.src_port", F.array_join(F.transform("d.offsets", lambda o: o["offset"].cast("string")), ",").alias("places"))
+    return flat.groupBy("l3", "l4", "places").agg(F.count("*").alias("n"), F.sum("src_port").alias("ports"))
+
+
+def frame_separators(spark, sf_dir):
+    """Places of the separators in the frames' tokens."""
+    found = _frames(spark, sf_dir).select(dissect.separated_tokens(F.col("data")).alias("ids"))
+    flat = found.select(F.size("ids").alias("n_tokens"), F.array_join(F.transform(sequences.separator_positions(F.col("ids"), 5), lambda x: x.cast("string")), ",").alias("places"))
+    return flat.groupBy("n_tokens", "places").agg(F.count("*").alias("n"))
 
 
 def frame_addresses(spark, sf_dir):
@@ -277,24 +276,21 @@ def http_bodies(spark, sf_dir):
 
 def file_shards(spark, sf_dir):
     """Customers as files dealt to eight ranks, in the order of their names."""
-    from wirelake.sources.captures import rank_share
+    from wirelake.sources.captures import with_rank
 
     files = table(spark, sf_dir, "customer").select(F.col("c_name").alias("path"))
-    parts = [rank_share(files, r, 8).agg(F.count("*").alias("n"), F.min("path").alias("first")).withColumn("rank", F.lit(r)) for r in range(8)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    dealt = with_rank(files, 8)
+    return dealt.groupBy("rank").agg(F.count("*").alias("n"), F.min("path").alias("first"))
 
 
 def tokenise_with_packets(spark, sf_dir):
     """Whole token sequences of conversations, with packet separators and ends."""
-    made = chunks.file_sequence(chunks.packet_sequences(_indexed(turn_packets(spark, sf_dir)), bos=True, eos=True))
+    made = chunks.file_sequence(chunks.packet_sequences(turn_packets(spark, sf_dir), bos=True, eos=True, dense=False))
     return made.select(F.col("path").alias("conv_id"), F.size("ids").alias("n"), _digest(F.col("ids")).alias("ids_md5"))
 
 
 def special_counts(spark, sf_dir):
-    made = chunks.file_sequence(chunks.packet_sequences(_indexed(turn_packets(spark, sf_dir)), bos=True, eos=True))
+    made = chunks.file_sequence(chunks.packet_sequences(turn_packets(spark, sf_dir), bos=True, eos=True, dense=False))
     return made.select(F.col("path").alias("conv_id"), *stats.special_counts(F.col("ids"), vocab.TOKEN))
 
 
@@ -384,7 +380,8 @@ _QUERIES = {
     "bigram_entropy": (bigram_entropy, f"WITH v AS (SELECT b, {_LIST.format(plus='')} AS x FROM {_DOCS}), p AS (SELECT unnest(list_transform(range(1, b), lambda i: x[i] * 256 + x[i + 1])) AS g FROM v), c AS (SELECT g, count(*) AS n FROM p GROUP BY g), d AS (SELECT g, n, sum(n) OVER (PARTITION BY g // 256) AS k FROM c) SELECT CAST(sum(n) AS BIGINT) AS pairs, round(sum(n * log2(k / n)) / sum(n), 8) AS entropy FROM d"),
     "port_protocols": (port_protocols, f"SELECT coalesce({_PORT_CASE.format(c='(l_partkey % 65536)')}, {_PORT_CASE.format(c='(l_suppkey % 65536)')}) AS protocol, count(*) AS n FROM lineitem GROUP BY 1"),
     "frame_headers": (frame_headers, f"SELECT 'ipv4' AS l3, 'tcp' AS l4, '{_FRAME_PLACES}' AS places, count(*) AS n FROM lineitem"),
-    "frame_boundaries": (frame_boundaries, f"SELECT 'ipv4' AS l3, 'tcp' AS l4, 69 AS n_tokens, '{_FRAME_PLACES[:-3]}' AS places, count(*) AS n, CAST(sum(l_partkey % 65536) AS BIGINT) AS ports FROM lineitem"),
+    "frame_boundaries": (frame_boundaries, f"SELECT 'ipv4' AS l3, 'tcp' AS l4, '{_FRAME_PLACES}' AS places, count(*) AS n, CAST(sum(l_partkey % 65536) AS BIGINT) AS ports FROM lineitem"),
+    "frame_separators": (frame_separators, f"SELECT 69 AS n_tokens, '{_FRAME_PLACES[:-3]}' AS places, count(*) AS n FROM lineitem"),
     "frame_addresses": (frame_addresses, "SELECT concat((l_suppkey >> 24) & 255, '.', (l_suppkey >> 16) & 255, '.', (l_suppkey >> 8) & 255, '.', l_suppkey & 255) AS ip_src, count(*) AS n, 2048 AS eth_type, 6 AS ip_protocol, min(regexp_replace(lower(lpad(printf('%x', l_orderkey), 12, '0')), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6')) AS first_eth_src FROM lineitem GROUP BY l_suppkey"),
     "http_bodies": (http_bodies, "SELECT page_id, CASE WHEN octet_length(encode(html)) < 4 THEN NULL WHEN c > 0 OR l > 0 THEN 'http_body' ELSE 'http_end' END AS field_name, CAST(CASE WHEN octet_length(encode(html)) < 4 THEN NULL WHEN c > 0 THEN 54 + octet_length(encode(substr(html, 1, c - 1))) + 4 WHEN l > 0 THEN 54 + octet_length(encode(substr(html, 1, l - 1))) + 2 ELSE 54 + octet_length(encode(html)) END AS BIGINT) AS place FROM (SELECT page_id, html, instr(html, chr(13) || chr(10) || chr(13) || chr(10)) AS c, instr(html, chr(10) || chr(10)) AS l FROM pages)"),
     "file_shards": (file_shards, "SELECT CAST(r AS INTEGER) AS rank, count(*) AS n, min(c_name) AS first FROM (SELECT c_name, (row_number() OVER (ORDER BY c_name) - 1) % 8 AS r FROM customer) GROUP BY r"),

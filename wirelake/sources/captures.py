@@ -101,12 +101,16 @@ def find_captures(spark: SparkSession, folder: str, suffixes: tuple[str, ...] =
     return found.orderBy("path")
 
 
+def with_rank(files: DataFrame, world: int) -> DataFrame:
+    """The files with the rank that each goes to: in the order of paths they are dealt in turn."""
+    from wirelake.operators.sequences import batches
+
+    return batches(files, 1, "path").withColumn("rank", F.pmod("batch", F.lit(world)).cast("int")).drop("batch")
+
+
 def rank_share(files: DataFrame, rank: int, world: int) -> DataFrame:
     """Every ``world``-th file by path, from ``rank`` on."""
-    from pyspark.sql.window import Window
-
-    # file lists are metadata: one row a file
-    return files.withColumn("n", F.row_number().over(Window.orderBy("path")) - 1).where(F.pmod("n", F.lit(world)) == rank).drop("n")
+    return with_rank(files, world).where(F.col("rank") == rank).drop("rank")
 
 
 def read_captures(spark: SparkSession, path: str, suffixes: tuple[str, ...] = WIDE_SUFFIXES, recursive: bool = True, mode: str = "permissive", next_generation: bool = True, most: int | None = None) -> DataFrame:
