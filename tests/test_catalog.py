@@ -5,7 +5,9 @@ import os
 
 import pytest
 
-from wirelake.plans import catalog
+from wirelake.plans import catalog, frames
+
+QUERIES, SQL = catalog.queries() | frames.queries(), catalog.oracle_sql() | frames.oracle_sql()
 
 FOLDER = os.environ.get("TABLES", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,10 +35,10 @@ def values(frame):
     return columns, sorted(tuple(map(text, row)) for row in frame[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = catalog.queries()[name](spark, FOLDER).toPandas()
-    if name not in catalog.oracle_sql():
+    got = QUERIES[name](spark, FOLDER).toPandas()
+    if name not in SQL:
         assert len(got)
         return
-    assert values(got) == values(duck.execute(catalog.oracle_sql()[name]).df())
+    assert values(got) == values(duck.execute(SQL[name]).df())
