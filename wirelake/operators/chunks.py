@@ -80,17 +80,22 @@ def number(chunks: DataFrame, extension: str = "npy") -> DataFrame:
     return numbered.select("chunk_idx", F.format_string(f"chunk_%08d.{extension}", "chunk_idx").alias("filename"), F.col("path").alias("source_file"), "num_tokens", "tokens")
 
 
-def source_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Of each file (path, length): size, tokens, first chunk, chunks; files without tokens have a status."""
+def source_files(chunks: DataFrame, files: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Of each file (path, length): size, tokens, first chunk, chunks, and how it went: success, error (with what ``errors``, of path and error, says) or no tokens."""
     per = chunks.groupBy("source_file").agg(F.sum("num_tokens").alias("num_tokens"), F.min("chunk_idx").alias("chunk_start_idx"), F.count("*").alias("num_chunks"))
     joined = files.join(per, files.path == per.source_file, "left")
+    if errors is None:
+        joined = joined.withColumn("error", F.lit(None).cast("string"))
+    else:
+        joined = joined.join(errors.groupBy(F.col("path").alias("_path")).agg(F.min("error").alias("error")), F.col("path") == F.col("_path"), "left")
     return joined.select(
         F.col("path").alias("file_path"),
         F.col("length").alias("file_size_bytes"),
         F.coalesce("num_tokens", F.lit(0)).alias("num_tokens"),
         "chunk_start_idx",
         F.coalesce("num_chunks", F.lit(0)).alias("num_chunks"),
-        F.when(F.col("num_tokens") > 0, "success").otherwise("No tokens generated").alias("status"),
+        F.when(F.col("error").isNotNull(), "error").when(F.col("num_tokens") > 0, "success").otherwise("No tokens generated").alias("status"),
+        "error",
     )
 
 

@@ -32,7 +32,8 @@ def pretokenize(spark: SparkSession, folder: str, out: str, size: int = 2048, mo
     files = captures.find_captures(spark, folder, most=most, must=True)
     packets = captures.read_captures(spark, folder, captures.SUFFIXES, mode="drop", most=most)
     sinks.write_chunks(chunks.number(chunks.cut(chunks.packet_sequences(packets, v), size)), f"{out}/chunks")
-    sources = chunks.source_files(sinks.read_chunks(spark, f"{out}/chunks"), files)
+    errors = captures.read_captures(spark, folder, captures.SUFFIXES, most=most).where("error is not null").select("path", "error")
+    sources = chunks.source_files(sinks.read_chunks(spark, f"{out}/chunks"), files, errors)
     sources.write.mode("overwrite").parquet(f"{out}/source_files")
     sinks.write_json(chunks.manifest(spark.read.parquet(f"{out}/source_files")), f"{out}/manifest")
     return sinks.read_manifest(spark, f"{out}/manifest")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of the largest file that Spark's reader takes as one value.
+LARGEST = 2**31 - 2**20
 PACKET = "path string, packet_index int, ts timestamp, caplen int, wirelen int, linktype int, data binary, error string"
 SUFFIXES = ("pcap", "pcapng")
 WIDE_SUFFIXES = ("pcap", "pcapng", "cap", "PCAP", "PCAPNG", "CAP")
@@ -117,12 +119,20 @@ def read_captures(spark: SparkSession, path: str, suffixes: tuple[str, ...] = WI
     """Packets (PACKET) of the captures at a path, one task a file.
 
     A file that can't be read in full gives, like a failed file, no packets but one row with ``error`` and a null
-    packet_index (permissive), nothing (drop), or an error (failfast). A file without packets has no rows.
+    packet_index (permissive), nothing (drop), or an error (failfast). So does one of more than LARGEST bytes, which
+    Spark's reader refuses; the others are read all the same. A file without packets has no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path)
     if most is not None:
         files = files.where(F.col("length") <= most)
-    return _explode_files(files, mode, next_generation)
+    found = _explode_files(files.where(F.col("length") <= LARGEST), mode, next_generation)
+    large = files.where(F.col("length") > LARGEST).select("path")
+    reason = F.lit(f"more than {LARGEST} bytes; split the capture")
+    if mode == "failfast":
+        found = found.unionByName(large.select(F.raise_error(F.concat("path", F.lit(": "), reason)).cast("string").alias("path")), allowMissingColumns=True)
+    elif mode == "permissive":
+        found = found.unionByName(large.withColumn("error", reason), allowMissingColumns=True)
+    return found
 
 
 def _explode_files(files: DataFrame, mode: str, next_generation: bool) -> DataFrame:
@@ -166,7 +176,10 @@ def payloads(packets: DataFrame, mode: str = "full") -> DataFrame:
     elif mode == "payload":
         from wirelake.functions.dissect import dissect
 
-        packets = packets.withColumn("_a", dissect(F.col("data"))["app_start"]).withColumn("data", F.expr("substring(data, coalesce(_a, 14) + 1)")).drop("_a")
+        # behind the transport header, or the last header that was read
+        packets = packets.withColumn("_d", dissect(F.col("data")))
+        last = F.array_max(F.transform(F.filter("_d.offsets", lambda o: o["layer"] <= 4), lambda o: o["offset"]))
+        packets = packets.withColumn("_a", F.coalesce("_d.app_start", last, F.lit(14))).withColumn("data", F.expr("substring(data, _a + 1)")).drop("_a", "_d")
     return packets.where(F.octet_length("data") > 0)
 
 

@@ -55,10 +55,17 @@ def chunk_files(chunks: DataFrame, folder: str, form: str = "npy") -> DataFrame:
 def load_chunk_files(spark: SparkSession, folder: str) -> DataFrame:
     """(filename, tokens) of .npy, .pkl and .arrow chunk files, through Spark's reader; a file that can't be read has null tokens."""
     import io
+    import pickle
 
     import numpy as np
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "chunk_*.{npy,arrow}").load(folder)
+    class Plain(pickle.Unpickler):
+        """Lists of numbers only: names in a pickle are never looked up."""
+
+        def find_class(self, module, name):
+            raise pickle.UnpicklingError(f"{module}.{name} in a chunk")
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "chunk_*.{npy,pkl,arrow}").load(folder)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def tokens_of(path: pa.Array, content: pa.Array) -> pa.Array:
@@ -67,9 +74,11 @@ def load_chunk_files(spark: SparkSession, folder: str) -> DataFrame:
             try:
                 if p.endswith(".npy"):
                     out.append(np.load(io.BytesIO(c), allow_pickle=False).tolist())
+                elif p.endswith(".pkl"):
+                    out.append([int(x) for x in Plain(io.BytesIO(c)).load()])
                 else:
                     out.append([x for row in pa.ipc.open_file(c).read_all().column("tokens").to_pylist() for x in row])
-            except (ValueError, pa.ArrowInvalid):
+            except (ValueError, TypeError, EOFError, pickle.UnpicklingError, pa.ArrowInvalid):
                 out.append(None)
         return pa.array(out, pa.list_(pa.int64()))
 
@@ -99,7 +108,7 @@ def write_corpus(lines: DataFrame, path: str, single: bool = False) -> None:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Lines without blank ones."""
-    return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
+    return spark.read.text(path).select(F.trim("value", F.lit(" \t\r\n\x0b\x0c")).alias("value")).where("value <> ''")
 
 
 def write_deletions(paths: DataFrame, path: str) -> None:
