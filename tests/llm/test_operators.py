@@ -515,3 +515,64 @@ def test_language(docs, empty):
     assert all(rows[k].lang_pred == ("de" if k % 3 == 0 else "en") for k in range(60))
     assert langid.held_out_predictions(empty).count() == 0
     assert {r.lang_pred for r in langid.held_out_predictions(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_language_by_hand(docs, spark):
+    """Labels and scores against plain out-of-place distances of dictionaries; rows without an id and a very long text too."""
+    odd = spark.createDataFrame([(None, "abc dea bcd " * 20_000, "en"), (None, None, None), (None, "mnop qrst", None)], "doc_id long, text string, lang string")
+    both = docs.select("doc_id", "text", "lang").unionByName(odd)
+    rows = both.withColumn("held", fold("doc_id", 3) == 1).collect()
+    number = langid.letters()
+
+    def counts(text):
+        out, run = {}, [langid.GAP]
+        for c in text:
+            x = int(number[ord(c)])
+            if x != langid.GAP or run[-1] != langid.GAP:
+                run.append(x)
+        if run[-1] != langid.GAP:
+            run.append(langid.GAP)
+        for k, x in enumerate(run):
+            if x != langid.GAP:
+                out[x] = out.get(x, 0) + 1
+            if k and (x != langid.GAP or run[k - 1] != langid.GAP):
+                pair = run[k - 1] << langid.BITS | x
+                out[pair] = out.get(pair, 0) + 1
+            if 0 < k < len(run) - 1 and x != langid.GAP:
+                three = run[k - 1] << 2 * langid.BITS | x << langid.BITS | run[k + 1]
+                out[three] = out.get(three, 0) + 1
+        return out
+
+    def ranks(found):
+        return {c: r for r, c in enumerate(sorted(found, key=lambda c: (-found[c], c))[: langid.TOP])}
+
+    totals = {}
+    for r in rows:
+        if not r.held and r.lang and r.text is not None:
+            own = totals.setdefault(r.lang, {})
+            for c, n in counts(r.text).items():
+                own[c] = own.get(c, 0) + n
+    known = {lang: ranks(own) for lang, own in totals.items()}
+
+    def predict(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        own = ranks(counts(text))
+        away = {k: sum(min(langid.TOP, abs(p.get(c, 10**9) - r)) for c, r in own.items()) / (langid.TOP * len(own)) for k, p in known.items()}
+        best = min(sorted(away), key=away.get)
+        return best, round(1 - away[best], 9)
+
+    want = sorted((str(r.doc_id), bool(r.held), *predict(r.text)) for r in rows)
+    got = sorted((str(r.doc_id), r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.held_out_predictions(both).collect())
+    assert got == want
+
+
+def test_rows_without_an_id(spark):
+    rows = [(None, "call +1 555 010 9999 now " * 5000), (None, None), (1, "a b c d e"), (None, "a b c d e")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((str(r.doc_id), r.n_phone) for r in pii.digests(table).collect())
+    assert found == [("1", 0), ("None", 0), ("None", 0), ("None", 5000)]
+    near = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(table).collect())
+    assert near == [("1", "1"), *[("None", "None")] * 3]
+    scored = crf.tag(table, None).collect()
+    assert len(scored) == 4 and {r.predicted for r in scored} == {0}

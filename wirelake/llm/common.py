@@ -38,22 +38,29 @@ def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
 
 
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive lost executors."""
+    """Tables written to the shared folder, which cut lineage and survive lost executors; what is left goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.marked = spark, False
         self.root = f"{shared_folder(spark).rstrip('/')}/wirelake-{name}-{uuid.uuid4().hex}"
 
+    def _files(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        if not self.marked:
+            files, root = self._files(self.root)
+            files.deleteOnExit(root)
+            self.marked = True
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            files, path = self._files(f"{self.root}/{name}")
+            files.delete(path, True)
 
 
 def texts_in_chunks(batch: pa.RecordBatch, column: int = 1, limit: int = 1_000_000, most_rows: int = 400):

@@ -135,14 +135,15 @@ def start(nodes: DataFrame, k: int, orders: int, leaf: int = LEAF, seed: int = 0
 
 def top(lists: DataFrame) -> DataFrame:
     """The best entries of each list, as many as its cap, with their mark ``new`` if they have one."""
-    marks = [F.max("new").alias("new")] if "new" in lists.columns else []
-    distinct = lists.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("cap").alias("cap"), *marks)
+    # an entry that was there before isn't new
+    marks = [F.min("new").alias("new")] if "new" in lists.columns else []
+    distinct = lists.repartition("u").groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("cap").alias("cap"), *marks)
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
     return distinct.withColumn("r", rank).where(F.col("r") <= F.col("cap")).drop("r")
 
 
-def refine(nodes: DataFrame, lists: DataFrame, k: int, turn: int = 0, only: DataFrame | None = None) -> DataFrame:
-    """New entries (u, v, sim, cap), better than the worst of u's list: neighbours of neighbours, both ways.
+def refine(nodes: DataFrame, lists: DataFrame, k: int, groups: int, turn: int = 0, only: DataFrame | None = None) -> DataFrame:
+    """Entries (u, v, sim, cap), better than the worst of u's list: neighbours of neighbours, both ways.
 
     Each vector is a centre; the members of its own list and of the lists that it is in are compared with each other.
     With ``only`` (u) centres without one of these vectors around them are left out, and only their lists gain entries.
@@ -155,17 +156,19 @@ def refine(nodes: DataFrame, lists: DataFrame, k: int, turn: int = 0, only: Data
     turned = lists.select(F.col("v").alias("centre"), F.col("u").alias("member"))
     turned = turned.withColumn("r", F.row_number().over(Window.partitionBy("centre").orderBy(F.xxhash64("member", "centre", F.lit(turn))))).where(F.col("r") <= k).drop("r")
     itself = nodes.select(F.col("id").alias("centre"), F.col("id").alias("member"))
-    around = own.unionByName(turned).unionByName(itself).distinct()
+    around = own.unionByName(turned).unionByName(itself)  # a member that comes twice is taken once below
     if only is not None:
         wanted = only.select(F.col("u").alias("member"))
         around = around.join(around.join(wanted, "member", "left_semi").select("centre").distinct(), "centre", "left_semi")
         known = known.join(only.withColumn("grows", F.lit(True)), known.id == only.u, "left").select("id", "vec", F.when(F.col("grows"), F.col("worst")).otherwise(F.lit(2.0)).alias("worst"), "cap")
     there = around.join(known, around.member == known.id).select("centre", "member", "vec", "worst", "cap")
-    groups = max(1, nodes.count() // CENTRES)
 
     def run(table):
         centre, member, low, cap = (table.column(c).to_numpy() for c in ("centre", "member", "worst", "cap"))
-        order = np.argsort(centre, kind="stable")
+        order = np.lexsort((member, centre))
+        once = np.ones(len(order), bool)
+        once[1:] = (centre[order][1:] != centre[order][:-1]) | (member[order][1:] != member[order][:-1])
+        order = order[once]
         centre, member, low, cap = centre[order], member[order], low[order], cap[order]
         # the vectors of one centre have one length
         column = table.column("vec").combine_chunks().take(pa.array(order))
@@ -182,15 +185,14 @@ def refine(nodes: DataFrame, lists: DataFrame, k: int, turn: int = 0, only: Data
                 out.append(y)
         return _edges(*best(*(np.concatenate(y) for y in found))) if found[0] else _edges([], [], [], [])
 
-    new = there.withColumn("g", F.pmod(F.xxhash64("centre"), F.lit(groups))).groupBy("g").applyInArrow(run, _EDGE)
-    return new.join(lists, ["u", "v"], "left_anti")
+    return there.withColumn("g", F.pmod(F.xxhash64("centre"), F.lit(groups))).groupBy("g").applyInArrow(run, _EDGE)
 
 
 def settle(scratch: Scratch, nodes: DataFrame, lists: DataFrame, k: int, name: str, only: DataFrame | None = None) -> DataFrame:
     """The lists refined until they settle. That ends: an entry only gives way to a better one."""
-    r = 0
+    r, groups = 0, max(1, nodes.count() // CENTRES)
     while True:
-        found = refine(nodes, lists, k, r, only).withColumn("new", F.lit(1))
+        found = refine(nodes, lists, k, groups, r, only).withColumn("new", F.lit(1))
         after = scratch.table(top(lists.withColumn("new", F.lit(0)).unionByName(found)), f"{name}-{r}")
         seen = after.agg(F.sum("new").alias("changed"), F.count("*").alias("entries")).first()
         if r:
@@ -343,8 +345,9 @@ def link(scratch: Scratch, nodes: DataFrame, threshold: float, k: int, orders: i
     counted = edges.where(F.col("here").isNull() | F.col("there").isNull()).groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("links"))
     joining = near
     if not full.isEmpty():
-        own = scratch.table(components(Scratch(scratch.spark, f"{name}-own"), near), f"{name}-joined")
-        ends = nodes.join(full, nodes.id == full.u, "left_semi").join(own, F.col("id") == F.col("node")).select("component", "id", "n", "vec")
+        # vectors with a common neighbour lie together in a slice
+        own = near.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+        ends = nodes.join(full, nodes.id == full.u, "left_semi").join(own, "id").select("component", "id", "n", "vec")
         found = scratch.table(compare(scratch.table(ends, f"{name}-ends"), threshold), f"{name}-exact")
         joining = near.unionByName(found.where("v is not null").select("u", "v"))
         counted = counted.unionByName(found.where("v is null").select(F.col("u").alias("id"), "links")).groupBy("id").agg(F.sum("links").alias("links"))
