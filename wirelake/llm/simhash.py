@@ -21,8 +21,8 @@ BLOCK = 256
 MOST_TASKS = 20_000
 #: 64-bit words of a wide fingerprint; standard deviations of the differing bits that a search for a similarity allows for.
 WIDE, SURE = 4, 3.3
-#: Candidate edges of one task before they are cut down to a forest.
-EDGES = 2_000_000
+#: Bits between the limits by which a task tells whether a pair joins anything.
+STEP = 6
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -176,21 +176,27 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarr
 
 
 def closest(left: np.ndarray, right: np.ndarray | None, first: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, bits): of all pairs within the radius those of a lightest spanning forest."""
+    """(a, b, bits): of all pairs within the radius those of a spanning forest that is lightest but for STEP bits.
+
+    For each of some limits the trees of all pairs within it are kept; a pair within a limit whose ends are in one tree
+    by then is left out. So what is held grows with the fingerprints, not with the pairs of a large group of copies.
+    """
     n = len(left) + (0 if right is None else len(right))
-    held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16))], 0
-
-    def cut():
-        a, b, w = (np.concatenate(x) for x in zip(*held))
-        at = forest(n, a, b, w)
-        return a[at], b[at], w[at]
-
-    for found in close_pairs(left, right, first, radius):
-        held.append(found)
-        size += len(found[0])
-        if size > EDGES:
-            held, size = [cut()], 0
-    return cut()
+    limits = np.arange(radius, 0, -STEP)[::-1]
+    roots = np.tile(np.arange(n), (len(limits), 1))
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16))]
+    for x, y, d in close_pairs(left, right, first, radius):
+        level = np.searchsorted(limits, d)
+        new = roots[level, x] != roots[level, y]
+        if new.any():
+            x, y, d, level = x[new], y[new], d[new], level[new]
+            held.append((x, y, d))
+            for k in range(level.min(), len(limits)):
+                up = level <= k
+                roots[k] = link_roots(n, [(x[up], y[up])], roots[k])
+    a, b, w = (np.concatenate(x) for x in zip(*held))
+    at = forest(n, a, b, w)
+    return a[at], b[at], w[at]
 
 
 def links(distinct: DataFrame, radius: int, tile: int = TILE, first: int | None = None) -> DataFrame:
