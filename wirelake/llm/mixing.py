@@ -20,7 +20,7 @@ GROUP_ROWS, MOST_GROUPS = 4096, 16_384
 #: Sources that are scheduled together; of more, the smaller ones are pooled, and a pool's blocks are scheduled among its sources in turn.
 TOGETHER = 200
 #: Rows of one partition of the ordered table, partitions at most, and partitions times sources whose limits one table holds at most.
-PART_ROWS, MOST_PARTS, MOST_LIMITS = 16_384, 16_384, 1 << 18
+PART_ROWS, MOST_PARTS, MOST_LIMITS = 4096, 65_536, 1 << 18
 #: Weight of a source that has none.
 DEFAULT_WEIGHT = 1
 _PLACES = "struct<block:bigint,release:bigint,deadline:bigint,phase:int,slot:bigint,place:bigint>"
