@@ -182,7 +182,8 @@ def neighbours(docs: DataFrame, group: int = GROUP, most: int = RANGES) -> DataF
     two = F.concat(one, F.array(F.struct(before.alias("p"), F.lit(True).alias("extra"))))
     both = placed.withColumn("x", F.explode(F.when(F.col("at") % 2 == 1, two).otherwise(one))).select("x.p", "x.extra", "doc_id", "t", "m", "text")
     # sorted and read as a stream: a range may be larger than a task's memory
-    return both.repartition(min(MOST_TASKS, ranges), "p").sortWithinPartitions("p", "extra", *order).select("p", "doc_id", "text", "extra")
+    parts = min(MOST_TASKS, ranges)
+    return both.repartitionById(parts, F.pmod("p", F.lit(parts)).cast("int")).sortWithinPartitions("p", "extra", *order).select("p", "doc_id", "text", "extra")
 
 
 def edited(docs: DataFrame, group: int = GROUP) -> DataFrame:
