@@ -19,8 +19,10 @@ TILE = 65536
 BLOCK = 256
 #: Most shuffle partitions of the tile pairs.
 MOST_TASKS = 20_000
-#: 64-bit words of a wide fingerprint; standard deviations of the differing bits that a search for a similarity allows for.
-WIDE, SURE = 4, 3.3
+#: Shingles are counted by the last COUNT_BITS bits of their hashes, in COUNT_PARTS rows a task.
+COUNT_BITS, COUNT_PARTS = 18, 64
+#: Shingles that are counted together, postings and pairs that are looked at together.
+COUNTED, TOGETHER = 1_000_000, 1_000_000
 #: Bits between the limits by which a task tells whether a pair joins anything.
 STEP = 6
 
@@ -53,14 +55,14 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
-    """SimHash over the set of word shingles, of WIDE words: each from another mix of the hashes."""
-    hashes, out = np.unique(shingle_hashes(text, shingle)), []
-    for k in range(WIDE):
-        with np.errstate(over="ignore"):
-            x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            out.append(majority(x ^ (x >> np.uint64(29)) if k else hashes))
-    return out
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The different shingle hashes of a text, in order."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def set_hash(grams: np.ndarray) -> int:
+    """A signed hash of a set of shingles: the number of its node."""
+    return xxhash.xxh64_intdigest(grams.tobytes(), 42) - (1 << 63)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -74,16 +76,175 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, t, fp, fp1, ...): the text's hash and its wide fingerprint as signed longs. A null or blank text has zeros."""
-    names = ["fp", *(f"fp{k}" for k in range(1, WIDE))]
+def set_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, t, node, fp) of every row: hashes of the text and of its set of shingles, and the set's fingerprint.
+
+    From each task COUNT_PARTS more rows have (part, counts): how often each value of the last COUNT_BITS bits is met,
+    as 32-bit numbers.
+    """
+    mask, width = np.uint64((1 << COUNT_BITS) - 1), (1 << COUNT_BITS) // COUNT_PARTS
+    names = ["doc_id", "t", "node", "fp", "part", "counts"]
+
+    def run(batches):
+        counts, held, size = np.zeros(1 << COUNT_BITS, np.int64), [], 0
+        for batch in batches:
+            nodes, fps = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.uint64)
+            for row, t in enumerate(batch.column(2)):
+                grams = shingle_set(t.as_py(), shingle)
+                nodes[row], fps[row] = set_hash(grams), majority(grams)
+                held.append(grams & mask)
+                size += len(grams)
+                if size >= COUNTED:
+                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
+                    held, size = [], 0
+            none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(fps.view(np.int64)), *none], names=names)
+        if held:
+            counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
+        if counts.any():
+            parts = [x.astype(np.int32).tobytes() for x in counts.reshape(-1, width)]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(COUNT_PARTS, pa.int64()) for _ in range(4)), pa.array(range(COUNT_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, node long, fp long, part int, counts binary")
+
+
+def shingle_counts(marked: DataFrame) -> np.ndarray:
+    """The counts of all tasks of ``set_fingerprints``, added up: 2 ** COUNT_BITS numbers."""
+
+    def run(table):
+        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in table.column("counts"))
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((COUNT_PARTS, (1 << COUNT_BITS) // COUNT_PARTS), np.int64)
+    for r in marked.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(run, "part int, counts binary").collect():
+        out[r.part] = np.frombuffer(r.counts, np.int64)
+    return out.ravel()
+
+
+def fits(size_a, at_a, size_b, at_b, least: float):
+    """Whether sets of these sizes, whose first common shingle is at these places of their orders, can have a similarity of ``least``."""
+    # the sizes' own limit follows: no set shares more than it has
+    return np.minimum(size_a - at_a, size_b - at_b) * (1 + least) >= least * (size_a + size_b) - 1e-6
+
+
+def postings(docs: DataFrame, counts: np.ndarray, least: float, shingle: int) -> DataFrame:
+    """(gram, node, place, size): the first shingles of every set, the rarest by ``counts`` first, and their places.
+
+    Of two sets with a similarity of ``least`` the first common shingle is among these of both: after it the smaller part
+    that is left out has too few for what they must share. The counts only set an order, which is the same for all sets.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2 ** COUNT_BITS numbers
+    mask = np.uint64((1 << COUNT_BITS) - 1)
+    names = ["gram", "node", "place", "size"]
 
     def run(batches):
+        def record():
+            out = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), *map(pa.array, out[1:])], names=names)
+
+        held, total, seen = [], 0, set()
         for batch in batches:
-            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(WIDE))], names=["doc_id", "t", *names])
+            for t in batch.column(0):
+                grams = shingle_set(t.as_py(), shingle)
+                if not len(grams):
+                    continue
+                if (node := set_hash(grams)) in seen:
+                    continue  # a copy within the task: its postings are there
+                seen.add(node)
+                n = len(grams) - math.ceil(least * len(grams) - 1e-9) + 1
+                first = grams[np.lexsort((grams, shared.value[grams & mask]))[:n]]
+                held.append((first, np.full(n, node), np.arange(n, dtype=np.int32), np.full(n, len(grams), np.int32)))
+                total += n
+                if total >= TOGETHER // 4:
+                    yield record()
+                    total = 0
+                    if len(seen) > TOGETHER:
+                        seen.clear()
+        if held:
+            yield record()
+
+    return docs.select("text").mapInArrow(run, "gram long, node long, place int, size int")
+
+
+def _whole_runs(batches):
+    """Columns of whole runs of one gram, about TOGETHER rows or more at once."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append([np.asarray(c) for c in batch.columns])
+        rows += batch.num_rows
+        if rows < TOGETHER:
+            continue
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
+        if cut:
+            yield [c[:cut] for c in columns]
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _edges_of(*columns) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin and end, for each row."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    begin = np.flatnonzero(new)
+    sizes = np.diff(np.append(begin, len(new)))
+    return np.repeat(begin, sizes), np.repeat(begin + sizes, sizes)
+
+
+def shared_postings(found: DataFrame, least: float) -> DataFrame:
+    """The postings of grams that several sets have, once each, with ``hub``: the run's smallest node, if that can be similar."""
+
+    def run(batches):
+        for gram, node, place, size in _whole_runs(batches):
+            once = np.ones(len(gram), bool)
+            once[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+            gram, node, place, size = gram[once], node[once], place[once], size[once]
+            begin, end = _edges_of(gram)
+            several = end - begin > 1
+            hub = begin[several]
+            gram_, node_, place_, size_ = gram[several], node[several], place[several], size[several]
+            none = (node[hub] == node_) | ~fits(size[hub], place[hub], size_, place_, least)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (gram_, node_, place_, size_)), pa.array(node[hub], mask=none)], names=["gram", "node", "place", "size", "hub"])
+
+    return found.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(run, "gram long, node long, place int, size int, hub long")
+
+
+def pairs_between(found: DataFrame, least: float, hubs: bool = False) -> DataFrame:
+    """(u, v): all pairs of postings (gram, group, node, place, size) of one gram but different groups that can be similar. Pairs may repeat.
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, " + ", ".join(f"{n} long" for n in names))
+    With ``hubs`` only those of one node a gram, another for each gram; so they are no more than the postings.
+    """
+
+    def pairs(node, place, size, a, b):
+        keep = fits(size[a], place[a], size[b], place[b], least)
+        x, y = node[a[keep]], node[b[keep]]
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
+
+    def run(batches):
+        for gram, group, node, place, size in _whole_runs(batches):
+            (_, begin), (start, end) = _edges_of(gram, group), _edges_of(gram)
+            if hubs:
+                with np.errstate(over="ignore"):
+                    mixed = (node ^ gram).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                hub = np.lexsort((mixed ^ (mixed >> np.uint64(31)), start))[start]
+                other = np.flatnonzero(group != group[hub])
+                yield from pairs(node, place, size, hub[other], other)
+                continue
+            many = end - begin  # the partners of a row follow its group
+            total = np.cumsum(many)
+            first = 0
+            while first < len(many):
+                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + TOGETHER, "right")))
+                n = many[first:last]
+                a = np.repeat(np.arange(first, last), n)
+                b = np.repeat(begin[first:last] - (np.cumsum(n) - n), n) + np.arange(len(a))
+                yield from pairs(node, place, size, a, b)
+                first = last
+
+    return found.repartition("gram").sortWithinPartitions("gram", "group").mapInArrow(run, "u long, v long")
 
 
 def tile_plan(histogram: dict[int, int], tile: int = TILE) -> list[tuple[int, int, int]]:
@@ -268,31 +429,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, tile: in
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def reach_of(similarity: float, bits: int, sure: float = SURE) -> int:
-    """Differing bits that pairs of at least that Jaccard similarity have at most, but for ``sure`` standard deviations.
-
-    Sets of that similarity have a cosine of 2 J / (1 + J) or more, and a bit differs with their angle's share of pi.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + sure * math.sqrt(bits * p * (1 - p)))
-
-
-def without_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, tile: int = TILE) -> DataFrame:
-    """The rows of ``docs``, one of each group: that with the smallest doc_id (null last), then by the text's hash and the other columns.
-
-    Groups are joined by pairs of texts whose sets of word shingles have a Jaccard similarity of at least ``least``.
-    Candidates are pairs of wide fingerprints within ``reach_of(least)`` bits, found by tiled exact comparison; of these,
-    a lightest spanning forest of each pair of tiles is held against the shingles themselves, and only confirmed pairs
-    join. Equal wide fingerprints count as equal texts, so all wordless texts, null and blank ones too, are one group;
-    repeated rows are a group as any other copies. An empty table gives an empty result; all columns are returned.
-    """
-    scratch = Scratch(docs.sparkSession, "similar")
-    marked = wide_fingerprints(docs, shingle)
-    words = [c for c in marked.columns if c.startswith("fp")]
-    one = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t")
-    nodes = scratch.table(marked.groupBy(*words).agg(F.min(one).alias("one")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    found = links(nodes.select(F.col("node").alias("rep"), *words), reach_of(least, 64 * WIDE), tile, reach_of(least, 64, SURE + 1))
-    pairs = scratch.table(found.select("u", "v").distinct(), "pairs")
+def alike(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, shingle: int, name: str) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = nodes.join(ends, "node", "left_semi").select("one.doc_id", "one.t", "node")
     texts = _with_key(docs).select("__wirelake_id", "__wirelake_t", "text")
@@ -300,15 +438,46 @@ def without_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, t
 
     def sets(batches):
         for batch in batches:
-            grams = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(1)]
+            grams = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    held = scratch.table(texts.mapInArrow(sets, "node long, grams array<long>").dropDuplicates(["node"]), "grams")
+    held = scratch.table(texts.mapInArrow(sets, "node long, grams array<long>").dropDuplicates(["node"]), f"{name}-grams")
     a, b = held.select(F.col("node").alias("u"), F.col("grams").alias("x")), held.select(F.col("node").alias("v"), F.col("grams").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    alike = pairs.join(a, "u").join(b, "v").where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("u", "v")
-    joined = components(scratch, scratch.table(alike, "edges"))
-    rooted = nodes.select("node", "one").join(joined.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
+    found = pairs.join(a, "u").join(b, "v").where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("u", "v")
+    return scratch.table(found, f"{name}-edges")
+
+
+def without_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, tile: int = TILE, radius: int = 4) -> DataFrame:
+    """The rows of ``docs``, one of each group: that with the smallest doc_id (null last), then by the text's hash and the other columns.
+
+    Groups are joined by all pairs of texts whose sets of word shingles have a Jaccard similarity of at least ``least``.
+    First, fingerprints within ``radius`` bits, found by tiled exact comparison, and the hubs of shared rare shingles
+    propose pairs, which are held against the shingles themselves; that joins most. Other hubs join more of what is
+    left. Then all pairs between different groups that share one of their first shingles (``postings``) are held
+    against them, so no similar pair is missed.
+    Texts with equal sets are one node, so all wordless texts, null and blank ones too, are one group; repeated rows
+    are a group as any other copies. An empty table gives an empty result; all columns are returned.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    marked = scratch.table(set_fingerprints(docs, shingle), "marked")
+    one = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t")
+    nodes = scratch.table(marked.where("part is null").groupBy("node").agg(F.min(one).alias("one"), F.min("fp").alias("fp")), "nodes")
+    ordered = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    near = links(nodes.select(F.col("node").alias("rep"), "fp"), radius, tile, radius).select(*ordered)
+    runs = scratch.table(shared_postings(postings(docs, shingle_counts(marked), least, shingle), least), "runs")
+    hubs = runs.where("hub is not null").select(F.col("hub").alias("u"), F.col("node").alias("v")).select(*ordered)
+    pairs = scratch.table(near.unionByName(hubs).distinct(), "pairs")
+    edges = alike(scratch, docs, nodes, pairs, least, shingle, "first")
+    groups = components(scratch, edges).select(F.col("node").alias("at"), "component")
+    for name in ("hubs", "rest"):
+        placed = runs.join(groups, F.col("node") == F.col("at"), "left").select("gram", F.coalesce("component", "node").alias("group"), "node", "place", "size")
+        more = scratch.table(pairs_between(placed, least, name == "hubs").distinct().join(pairs, ["u", "v"], "left_anti"), name)
+        if not more.isEmpty():
+            pairs = pairs.unionByName(more)
+            edges = edges.unionByName(alike(scratch, docs, nodes, more, least, shingle, name))
+            groups = components(Scratch(docs.sparkSession, name), edges).select(F.col("node").alias("at"), "component")
+    rooted = nodes.select("node", "one").join(groups, F.col("node") == F.col("at"), "left")
     first = rooted.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("one").alias("one"))
     first = scratch.table(first.select(F.col("one.doc_id").alias("a"), F.col("one.t").alias("b")), "first")
     own = _with_key(docs)
