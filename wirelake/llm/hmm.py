@@ -14,10 +14,8 @@ from wirelake.llm.common import Scratch, ascii_lower, fold
 
 #: Hidden states; words with an emission probability of their own, at most: all whose count reaches a limit, 2 at least. Steps of the limit in a doubling.
 STATES, VOCABULARY, STEPS = 16, 65_536, 64
-#: Start of the training on the driver: about so many documents, so many passes. Then passes over all training documents.
-START_DOCS, START_PASSES, PASSES = 300, 15, 2
-#: The longest of those documents, in characters.
-START_LONGEST = 50_000
+#: Most frequent words that the start tells apart in its counts of neighbours; passes over these on the driver. Then passes over all training documents.
+START_WORDS, START_PASSES, PASSES = 1022, 60, 2
 #: Words of one training sequence, sequences of a step.
 LENGTH, LANES = 256, 256
 #: Occurrences of each word that are dealt to the states by their overall shares; weight of the words' overall shares in each state; count added to each move.
@@ -108,8 +106,8 @@ def maximise(counts, overall: np.ndarray) -> Parameters:
     return Parameters(start, moves, emit)
 
 
-def first_guess(overall: np.ndarray, stream: np.ndarray, passes: int = START_PASSES, states: int = STATES) -> Parameters:
-    """Baum-Welch on a small stream, from a random start with states that tend to stay."""
+def first_guess(overall: np.ndarray, stream: np.ndarray, passes: int = 0, states: int = STATES) -> Parameters:
+    """A random start with states that tend to stay, and Baum-Welch passes over a small stream."""
     rng = np.random.default_rng(4)
     emit = overall[:, None] * rng.gamma(1.0, 1.0, (len(overall), states))
     moves = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
@@ -193,6 +191,57 @@ def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> list[tuple[bytes, i
     return sorted(((bytes(r.word), r.n) for r in words.where(rank >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
+def neighbours(training: DataFrame, names, coarse: int) -> np.ndarray:
+    """Counts [before, after] of all neighbouring symbols of all training texts. Words from ``coarse`` on are one symbol; the first of a text follows an end."""
+    width = coarse + 2
+
+    def run(batches):
+        number, size = names.value
+        counts = np.zeros(width * width, np.int64)
+        for batch in batches:
+            for _, docs in _split(batch, 0):
+                stream = symbols(docs, number, size)
+                after = np.where(stream == size + 1, coarse + 1, np.minimum(stream, coarse)).astype(np.int64)
+                # every chunk ends with an end
+                before = np.concatenate(([coarse + 1], after[:-1]))
+                counts += np.bincount(before * width + after, minlength=width * width)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["pair", "n"])
+
+    table = training.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # width * width rows at most
+    out = np.zeros(width * width)
+    out[table["pair"].to_numpy(np.int64)] = table["n"].to_numpy(np.float64)
+    return out.reshape(width, width)
+
+
+def from_neighbours(pairs: np.ndarray, overall: np.ndarray, passes: int = START_PASSES, states: int = STATES) -> Parameters:
+    """The model that raises the likelihood of counts of neighbours [before, after], the end last, by expectation-maximisation."""
+    p = first_guess(overall, np.zeros(0, np.int32), 0, states)
+    firsts, pairs = pairs[-1], pairs[:-1]
+    share = np.full(states, 1 / states)
+    for _ in range(passes):
+        left = p.emit[:-1] * share
+        moved = left @ p.moves
+        ratio = pairs / np.maximum(moved @ p.emit.T, 1e-300)
+        right = ratio @ p.emit
+        begin = p.emit * p.start
+        begin *= (firsts / np.maximum(begin.sum(axis=1), 1e-300))[:, None]
+        counts = begin.sum(axis=0), p.moves * (left.T @ right), p.emit * (ratio.T @ moved) + begin
+        of_state = (left * (right @ p.moves.T)).sum(axis=0)
+        share = (of_state + 1 / states) / (of_state.sum() + 1)
+        p = maximise(counts, overall)
+    return p
+
+
+def start(training: DataFrame, names, overall: np.ndarray, most: int = START_WORDS) -> Parameters:
+    """A start from the counts of neighbours of all training texts; words from ``most`` on have one distribution over the states."""
+    coarse = min(most, len(overall) - 2)
+    rest = overall[coarse:-1]
+    p = from_neighbours(neighbours(training, names, coarse), np.array([*overall[:coarse], rest.sum(), overall[-1]]))
+    p.emit = np.concatenate((p.emit[:coarse], p.emit[coarse] * (rest / rest.sum())[:, None], p.emit[-1:]))
+    return p
+
+
 def baum_welch(training: DataFrame, p: Parameters, names, overall: np.ndarray) -> Parameters:
     """One pass over all training texts: each task's expected counts, added up, and the model that they give.
 
@@ -245,7 +294,7 @@ class Model:
 
 
 def fit(training: DataFrame, passes: int = PASSES) -> Model:
-    """The model of all training texts: a start from a bounded sample (START_DOCS, START_LONGEST), then passes over all texts."""
+    """The model of all training texts: a start from their counts of neighbours, then passes over all of them."""
     spark = training.sparkSession
     counts = Scratch(spark, "hmm").table(word_counts(training), "counts")
     total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -254,12 +303,8 @@ def fit(training: DataFrame, passes: int = PASSES) -> Model:
     number, size = {w: i for i, (w, _) in enumerate(model.top)}, len(model.top)
     overall = np.array([*(n for _, n in model.top), model.rare[0] + 0.5, model.n_ends + 0.5], np.float64)
     overall /= overall.sum()
-    share = round(min(1.0, START_DOCS / max(1, model.n_ends)) * (1 << 20))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(4)), F.lit(1 << 20))
-    drawn = training.where((draw < share) & (F.length("text") <= START_LONGEST)).select(draw.alias("draw"), "text")
-    sample = [r.text for r in drawn.orderBy("draw", "text").limit(2 * START_DOCS).collect()]
-    model.p = first_guess(overall, symbols([ascii_lower(t).split() for t in sample], number, size))
     names = spark.sparkContext.broadcast((number, size))  # VOCABULARY words
+    model.p = start(training, names, overall)
     for _ in range(passes):
         model.p = baum_welch(training, model.p, names, overall)
     return model
