@@ -20,6 +20,8 @@ from wirelake.llm.common import code_points, texts_in_chunks, with_fields
 END_POINT = 0x110000
 #: Pieces whose ids are kept in one worker process.
 CACHE = 200_000
+#: Characters whose texts are encoded together.
+TOGETHER = 400_000
 #: A piece up to this many bytes is merged by rescanning, a longer one with a heap.
 SHORT = 48
 #: Lanes advance together in the scan; each has this many code points.
@@ -343,7 +345,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         own = coder(path)
         for batch in batches:
-            for first, texts in texts_in_chunks(batch, at):
+            for first, texts in texts_in_chunks(batch, at, TOGETHER):
                 ids, sizes, counts = [], [], np.zeros(len(texts), np.int64)
                 for k, i, s in own.windows(texts):
                     ids.append(i)

@@ -22,7 +22,7 @@ MOST_TASKS = 20_000
 #: Shingles are counted by the last COUNT_BITS bits of their hashes, in COUNT_PARTS rows a task.
 COUNT_BITS, COUNT_PARTS = 18, 64
 #: Shingles that are counted together, postings and pairs that are looked at together.
-COUNTED, TOGETHER = 1_000_000, 1_000_000
+COUNTED, TOGETHER = 250_000, 250_000
 #: Bits between the limits by which a task tells whether a pair joins anything.
 STEP = 6
 
@@ -156,7 +156,7 @@ def postings(docs: DataFrame, counts: np.ndarray, least: float, shingle: int) ->
                 first = grams[np.lexsort((grams, shared.value[grams & mask]))[:n]]
                 held.append((first, np.full(n, node), np.arange(n, dtype=np.int32), np.full(n, len(grams), np.int32)))
                 total += n
-                if total >= TOGETHER // 4:
+                if total >= TOGETHER:
                     yield record()
                     total = 0
                     if len(seen) > TOGETHER:
