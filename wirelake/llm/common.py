@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -63,6 +64,12 @@ class Scratch:
             files.delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now rather than at some later garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def texts_in_chunks(batch: pa.RecordBatch, column: int = 1, limit: int = 1_000_000, most_rows: int = 400):
     """(first row, texts) for slices of a batch whose texts have about ``limit`` characters together; null is ''.
 

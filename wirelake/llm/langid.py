@@ -16,6 +16,8 @@ from wirelake.llm.common import code_points, fold, texts_in_chunks, with_fields
 TOP = 300
 #: Labelled documents of each language that its profile is fitted on, about: a share of all is drawn by a hash of doc_id.
 SAMPLE = 2000
+#: Characters of texts that are counted together, which bounds the memory of a task.
+TOGETHER = 250_000
 GAP = 1
 BITS = 18
 
@@ -78,7 +80,7 @@ def profiles(docs: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str,
     def count(batches):
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
-            for first, texts in texts_in_chunks(batch):
+            for first, texts in texts_in_chunks(batch, limit=TOGETHER):
                 owner, code, n, _ = ngrams(texts)
                 for lang in set(langs[first : first + len(texts)]):
                     mine = (langs[first : first + len(texts)] == lang)[owner]
@@ -129,7 +131,7 @@ def identify(docs: DataFrame, trained: dict[str, np.ndarray]) -> DataFrame:
     def run(batches):
         for batch in batches:
             pred, score = [], []
-            for _, texts in texts_in_chunks(batch, at):
+            for _, texts in texts_in_chunks(batch, at, TOGETHER):
                 if not langs:
                     pred += ["und"] * len(texts)
                     score += [0.0] * len(texts)

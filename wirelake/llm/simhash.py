@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wirelake.llm.common import Scratch, ascii_lower, link_roots
+from wirelake.llm.common import Scratch, ascii_lower, link_roots, release
 from wirelake.llm.graph import components
 
 #: Distinct fingerprints in one tile; two tiles and one block of comparisons are what a task holds.
@@ -23,6 +23,12 @@ MOST_TASKS = 20_000
 COUNT_BITS, COUNT_PARTS = 18, 64
 #: Shingles that are counted together, postings and pairs that are looked at together.
 COUNTED, TOGETHER = 250_000, 250_000
+#: Of a run of more than SMALL_RUN postings that has more than FEW pairs a posting, or a share MANY of its mean size if that
+#: is more, or MOST_PAIRS in all, the sets themselves are compared within a task, PART sets or PART_SIZE shingles with as many.
+SMALL_RUN, FEW, MANY, MOST_PAIRS = 16, 8, 0.1, 1_000_000
+PART, PART_SIZE = 512, 1_000_000
+#: Bits by which rows are told that surely are not among wanted ones: 4 MB for each task.
+SIEVE_BITS = 1 << 25
 #: Bits between the limits by which a task tells whether a pair joins anything.
 STEP = 6
 
@@ -211,40 +217,139 @@ def shared_postings(found: DataFrame, least: float) -> DataFrame:
     return found.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(run, "gram long, node long, place int, size int, hub long")
 
 
-def pairs_between(found: DataFrame, least: float, hubs: bool = False) -> DataFrame:
+def pairs_between(found: DataFrame, least: float, hubs: bool = False, whole: bool = False) -> DataFrame:
     """(u, v): all pairs of postings (gram, group, node, place, size) of one gram but different groups that can be similar. Pairs may repeat.
 
-    With ``hubs`` only those of one node a gram, another for each gram; so they are no more than the postings.
+    With ``hubs`` only those of one node a gram, another for each gram; so they are no more than the postings. With
+    ``whole`` there are (gram, parts) too: runs that have many pairs come as their postings instead (v is null), to be
+    compared in as many parts. What is returned is then bounded by the postings, not by the square of a run.
     """
+    names = ["u", "v", "gram", "parts"] if whole else ["u", "v"]
 
-    def pairs(node, place, size, a, b):
-        keep = fits(size[a], place[a], size[b], place[b], least)
-        x, y = node[a[keep]], node[b[keep]]
-        if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
+    def record(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
+
+    def pairs(node, a, b):
+        if len(a):
+            x, y = node[a], node[b]
+            yield record(np.minimum(x, y), np.maximum(x, y), *((pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())) if whole else ()))
 
     def run(batches):
         for gram, group, node, place, size in _whole_runs(batches):
             (_, begin), (start, end) = _edges_of(gram, group), _edges_of(gram)
+
+            def that_fit(a, b):
+                keep = fits(size[a], place[a], size[b], place[b], least)
+                return a[keep], b[keep]
+
+            def partners(at):
+                """(a, b): the rows ``at`` and those that follow their groups, about TOGETHER pairs at once."""
+                many = end[at] - begin[at]
+                total = np.cumsum(many)
+                first = 0
+                while first < len(at):
+                    last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + TOGETHER, "right")))
+                    n = many[first:last]
+                    a = np.repeat(at[first:last], n)
+                    b = np.repeat(begin[at[first:last]] - (np.cumsum(n) - n), n) + np.arange(len(a))
+                    yield that_fit(a, b)
+                    first = last
+
             if hubs:
                 with np.errstate(over="ignore"):
                     mixed = (node ^ gram).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 hub = np.lexsort((mixed ^ (mixed >> np.uint64(31)), start))[start]
                 other = np.flatnonzero(group != group[hub])
-                yield from pairs(node, place, size, hub[other], other)
+                yield from pairs(node, *that_fit(hub[other], other))
                 continue
-            many = end - begin  # the partners of a row follow its group
-            total = np.cumsum(many)
-            first = 0
-            while first < len(many):
-                last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + TOGETHER, "right")))
-                n = many[first:last]
-                a = np.repeat(np.arange(first, last), n)
-                b = np.repeat(begin[first:last] - (np.cumsum(n) - n), n) + np.arange(len(a))
-                yield from pairs(node, place, size, a, b)
-                first = last
+            large = end - start > SMALL_RUN if whole else np.zeros(len(gram), bool)
+            for a, b in partners(np.flatnonzero(~large)):
+                yield from pairs(node, a, b)
+            for first in np.unique(start[large]).tolist():
+                last = int(end[first])
+                n, sizes = last - first, int(size[first:last].sum(dtype=np.int64))
+                most, held, total = min(n * max(FEW, MANY * sizes / n), MOST_PAIRS), [], 0
+                for a, b in partners(np.arange(first, last)):
+                    held.append((a, b))
+                    total += len(a)
+                    if total > most:
+                        break
+                if total <= most:
+                    for a, b in held:
+                        yield from pairs(node, a, b)
+                    continue
+                parts = max(-(-n // PART), -(-sizes // PART_SIZE))
+                yield record(node[first:last], pa.nulls(n, pa.int64()), gram[first:last], np.full(n, parts, np.int32))
+
+    return found.repartition("gram").sortWithinPartitions("gram", "group").mapInArrow(run, "u long, v long" + ", gram long, parts int" * whole)
+
+
+def similar_sets(grams: np.ndarray, sizes: np.ndarray, cut: int | None, least: float) -> np.ndarray:
+    """Smallest index linked to each of the sets, whose shingles follow each other, by a Jaccard similarity of ``least``.
+
+    All are compared with each other or, with ``cut``, those before it with the rest. Shingles that many sets have are
+    counted by a product of matrices, the others by their postings.
+    """
+    n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    right = 0 if cut is None else cut
+    roots = np.arange(n)
+    code = np.unique(grams, return_inverse=True)[1]
+    frequent = np.bincount(code) > max(16, n / 16)
+    column = np.cumsum(frequent) - 1
+    at = np.flatnonzero(frequent[code])
+    wide, row = column[code[at]], owner[at]
+    rare = np.flatnonzero(~frequent[code])
+    code, owner = code[rare], owner[rare]
+    theirs = np.flatnonzero(owner >= right)
+    theirs = theirs[np.argsort(code[theirs], kind="stable")]
+    many = np.bincount(code[theirs], minlength=len(frequent))
+    begin = np.cumsum(many) - many
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    for first in range(0, n if cut is None else cut, BLOCK):
+        last = min(first + BLOCK, n if cut is None else cut)
+        shared = np.zeros((last - first, n - right), np.float32)
+        for low in range(0, int(frequent.sum()), 4096):
+            here = (wide >= low) & (wide < low + 4096)
+            has = np.zeros((n, 4096), np.float32)
+            has[row[here], wide[here] - low] = 1
+            shared += has[first:last] @ has[right:].T
+        x = bounds[first]
+        total = np.cumsum(many[code[x : bounds[last]]])
+        while x < bounds[last]:
+            done = total[x - bounds[first] - 1] if x > bounds[first] else 0
+            y = max(x + 1, bounds[first] + int(np.searchsorted(total, done + TOGETHER, "right")))
+            m = many[code[x:y]]
+            other = owner[theirs[np.repeat(begin[code[x:y]] - (np.cumsum(m) - m), m) + np.arange(m.sum())]] - right
+            np.add.at(shared, (np.repeat(owner[x:y], m) - first, other), 1)
+            x = y
+        shared = shared.astype(np.float64)
+        a, b = np.nonzero(shared >= least * (sizes[first:last, None] + sizes[None, right:] - shared))
+        roots = link_roots(n, [(a + first, b + right)], roots)
+    return roots
+
+
+def links_in_runs(runs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """(u, v): edges that join all similar sets of each run (u, gram, parts) that ``pairs_between`` leaves whole.
+
+    ``held`` has the shingles (node, grams). Each pair of parts is one group, which returns a star for each of its
+    components, so no pair is a row. A set is moved once for each part of its runs.
+    """
+    own = F.pmod(F.xxhash64("u"), "parts").cast("int")
+    spread = runs.select("gram", "u", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    keyed = spread.select("gram", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "u")
+    keyed = keyed.join(held.withColumnRenamed("node", "u"), "u").select("gram", "a", "b", "side", "u", "grams")
 
-    return found.repartition("gram").sortWithinPartitions("gram", "group").mapInArrow(run, "u long, v long")
+    def run(table):
+        table = table.combine_chunks().sort_by([("side", "ascending"), ("u", "ascending")])
+        nodes, cut = table.column("u").to_numpy(), int((table.column("side").to_numpy() == 0).sum())
+        grams = table.column("grams").combine_chunks()
+        sizes = grams.value_lengths().to_numpy().astype(np.int64)
+        same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
+        roots = np.arange(len(nodes)) if not same and cut in (0, len(nodes)) else similar_sets(grams.flatten().to_numpy(), sizes, None if same else cut, least)
+        y = np.flatnonzero(roots != np.arange(len(nodes)))
+        return pa.table({"u": nodes[roots[y]], "v": nodes[y]})
+
+    return keyed.groupBy("gram", "a", "b").applyInArrow(run, "u long, v long")
 
 
 def tile_plan(histogram: dict[int, int], tile: int = TILE) -> list[tuple[int, int, int]]:
@@ -429,23 +534,65 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, tile: in
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def alike(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, shingle: int, name: str) -> DataFrame:
-    """Those of the pairs (u, v) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+def sieve(keys: DataFrame):
+    """A function of a column of hashes: false only if none of ``keys`` (t) equals it.
+
+    SIEVE_BITS bits are what the driver and the tasks hold; the more keys, the more rows pass that needn't.
+    """
+    at = keys.select((F.pmod(F.xxhash64("t"), F.lit(SIEVE_BITS)) + 1).alias("p"))
+    parts = at.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bits = np.zeros((SIEVE_BITS // 32768, 4096), np.uint8)
+    for r in parts.collect():  # as many rows as the array
+        bits[r.k - 1] = np.frombuffer(r.bits, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    @F.arrow_udf("boolean")
+    def among(p: pa.Array) -> pa.Array:
+        p = np.asarray(p)
+        return pa.array((shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda t: among(F.pmod(F.xxhash64(t), F.lit(SIEVE_BITS)))
+
+
+def shingles_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams): the sets of shingles of the nodes ``ends``; of the texts hardly more than theirs are moved."""
     wanted = nodes.join(ends, "node", "left_semi").select("one.doc_id", "one.t", "node")
     texts = _with_key(docs).select("__wirelake_id", "__wirelake_t", "text")
-    texts = texts.join(wanted, F.col("__wirelake_id").eqNullSafe(F.col("doc_id")) & (F.col("__wirelake_t") == F.col("t"))).select("node", "text")
+    texts = texts.where(sieve(wanted.select("t"))("__wirelake_t"))
+    both = F.xxhash64("__wirelake_id", "__wirelake_t").alias("__wirelake_k")
+    wanted = wanted.withColumn("k", F.xxhash64("doc_id", "t"))
+    texts = texts.select(both, "*").join(wanted, (F.col("__wirelake_k") == F.col("k")) & F.col("__wirelake_id").eqNullSafe(F.col("doc_id")) & (F.col("__wirelake_t") == F.col("t")))
 
     def sets(batches):
         for batch in batches:
             grams = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
 
-    held = scratch.table(texts.mapInArrow(sets, "node long, grams array<long>").dropDuplicates(["node"]), f"{name}-grams")
+    # repeated rows have one key, by which they are together already
+    turn = F.row_number().over(Window.partitionBy("k", "node").orderBy(F.lit(1)))
+    return texts.select("k", "node", "text").withColumn("turn", turn).where("turn = 1").select("node", "text").mapInArrow(sets, "node long, grams array<long>")
+
+
+def alike(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, shingle: int, name: str, runs: DataFrame | None = None) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``.
+
+    With ``runs`` (u, gram, parts) edges that join all similar sets of each run too.
+    """
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    if runs is not None:
+        ends = ends.unionByName(runs.select(F.col("u").alias("node")).distinct()).distinct()
+    ends = scratch.table(ends, f"{name}-ends")
+    held = scratch.table(shingles_of(docs, nodes, ends, shingle), f"{name}-grams")
+    release(docs.sparkSession)
     a, b = held.select(F.col("node").alias("u"), F.col("grams").alias("x")), held.select(F.col("node").alias("v"), F.col("grams").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     found = pairs.join(a, "u").join(b, "v").where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("u", "v")
-    return scratch.table(found, f"{name}-edges")
+    edges = scratch.table(found, f"{name}-edges")
+    if runs is not None and not runs.isEmpty():
+        edges = edges.unionByName(scratch.table(links_in_runs(runs, held, least).distinct(), f"{name}-stars"))
+    scratch.drop(f"{name}-ends", f"{name}-grams")
+    release(docs.sparkSession)
+    return edges
 
 
 def without_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, tile: int = TILE, radius: int = 4) -> DataFrame:
@@ -455,37 +602,53 @@ def without_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, t
     First, fingerprints within ``radius`` bits, found by tiled exact comparison, and the hubs of shared rare shingles
     propose pairs, which are held against the shingles themselves; that joins most. Other hubs join more of what is
     left. Then all pairs between different groups that share one of their first shingles (``postings``) are held
-    against them, so no similar pair is missed.
+    against them, so no similar pair is missed. Where a shingle has many such pairs, its sets are compared within
+    tasks instead of pair by pair.
     Texts with equal sets are one node, so all wordless texts, null and blank ones too, are one group; repeated rows
     are a group as any other copies. An empty table gives an empty result; all columns are returned.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     marked = scratch.table(set_fingerprints(docs, shingle), "marked")
     one = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t")
-    nodes = scratch.table(marked.where("part is null").groupBy("node").agg(F.min(one).alias("one"), F.min("fp").alias("fp")), "nodes")
+    nodes = scratch.table(marked.where("part is null").groupBy("node").agg(F.min(one).alias("one"), F.min("fp").alias("fp"), F.count("*").alias("rows")), "nodes")
     ordered = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     near = links(nodes.select(F.col("node").alias("rep"), "fp"), radius, tile, radius).select(*ordered)
     runs = scratch.table(shared_postings(postings(docs, shingle_counts(marked), least, shingle), least), "runs")
+    release(docs.sparkSession)
     hubs = runs.where("hub is not null").select(F.col("hub").alias("u"), F.col("node").alias("v")).select(*ordered)
     pairs = scratch.table(near.unionByName(hubs).distinct(), "pairs")
     edges = alike(scratch, docs, nodes, pairs, least, shingle, "first")
     groups = components(scratch, edges).select(F.col("node").alias("at"), "component")
     for name in ("hubs", "rest"):
         placed = runs.join(groups, F.col("node") == F.col("at"), "left").select("gram", F.coalesce("component", "node").alias("group"), "node", "place", "size")
-        more = scratch.table(pairs_between(placed, least, name == "hubs").distinct().join(pairs, ["u", "v"], "left_anti"), name)
-        if not more.isEmpty():
+        whole = None
+        if name == "hubs":
+            found = pairs_between(placed, least, hubs=True)
+        else:
+            found = scratch.table(pairs_between(placed, least, whole=True), "found")
+            whole = found.where("v is null").select("u", "gram", "parts")
+            found = found.where("v is not null").select("u", "v")
+        more = scratch.table(found.distinct().join(pairs, ["u", "v"], "left_anti"), name)
+        if not (more.isEmpty() and (whole is None or whole.isEmpty())):
             pairs = pairs.unionByName(more)
-            edges = edges.unionByName(alike(scratch, docs, nodes, more, least, shingle, name))
+            edges = edges.unionByName(alike(scratch, docs, nodes, more, least, shingle, name, whole))
             groups = components(Scratch(docs.sparkSession, name), edges).select(F.col("node").alias("at"), "component")
-    rooted = nodes.select("node", "one").join(groups, F.col("node") == F.col("at"), "left")
+    scratch.drop("runs")
+    rooted = scratch.table(nodes.select("node", "one", "rows").join(groups, F.col("node") == F.col("at"), "left").select("node", "one", "rows", "component"), "rooted")
     first = rooted.groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("one").alias("one"))
     first = scratch.table(first.select(F.col("one.doc_id").alias("a"), F.col("one.t").alias("b")), "first")
-    own = _with_key(docs)
+    # a row whose set no other has, and that no edge joins, stays where it is
+    several = rooted.where("rows > 1 or component is not null").select("node")
+    several = sieve(marked.where("part is null").join(several, "node", "left_semi").select("t"))
+    release(docs.sparkSession)
+    own = _with_key(docs).withColumn("__wirelake_several", several("__wirelake_t"))
+    alone = own.where(~F.col("__wirelake_several")).select(*docs.columns)
+    own = own.where("__wirelake_several")
     kept = own.join(first, F.col("__wirelake_id").eqNullSafe(F.col("a")) & (F.col("__wirelake_t") == F.col("b")), "left_semi")
     # rows that share doc_id and text are together already
     others = [F.col(c).cast("string") for c in docs.columns if c != "text"]
     turn = F.row_number().over(Window.partitionBy("__wirelake_id", "__wirelake_t").orderBy(*others))
-    return kept.withColumn("__wirelake_turn", turn).where(F.col("__wirelake_turn") == 1).select(*docs.columns)
+    return alone.union(kept.withColumn("__wirelake_turn", turn).where(F.col("__wirelake_turn") == 1).select(*docs.columns))
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
