@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,21 @@ def test_shares_by_slot(spark, tmp_path):
     assert shares == {s: 64 * w for s, w in corpus_pipeline.MIX_WEIGHTS.items()}
 
 
+def test_encoded_has_the_places_of_mixed(spark, tmp_path):
+    rows = [(k, f"a text {k} " * (1 + 40 * (k % 1000 == 0) + k // 6000), "en", None if k % 97 == 0 else f"src{max(0, k % 7 - 2)}", 0) for k in range(20_000)]
+    spark.createDataFrame(rows, DOCS).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.mixed(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/mixed")
+    files = sorted((tmp_path / "mixed").glob("part-*"))
+    written = [x for f in files for x in pq.read_table(f)["doc_id"].to_pylist()]
+    assert len(files) > 2 and sorted(written) == list(range(20_000))
+    got = corpus_pipeline.encoded(spark, spark.read.parquet(f"{tmp_path}/mixed"), str(tmp_path)).orderBy("mix_slot", "mix_place").collect()
+    assert [r.doc_id for r in got] == written
+    # and in one session without files in between
+    chained = corpus_pipeline.encoded(spark, corpus_pipeline.mixed(spark, docs, str(tmp_path)), str(tmp_path)).orderBy("mix_slot", "mix_place").collect()
+    assert [(r.doc_id, r.mix_slot, r.mix_place) for r in chained] == [(r.doc_id, r.mix_slot, r.mix_place) for r in got]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -137,6 +137,37 @@ def _rows(docs: DataFrame, key: str, source: str) -> DataFrame:
     return placed.withColumn("_h", F.xxhash64(F.col(key).cast("string"), "_m"))
 
 
+def _rows_as_read(docs: DataFrame, source: str) -> DataFrame:
+    """As ``_rows``, but each source's rows are ordered as they are in the table: _m is a row's number in it, and _h spreads these numbers over all of 64 bits.
+
+    Of a table read from files the order is that of the files' names, which Spark numbers as it writes, and the rows in
+    each, however the files are split and dealt; of any other that of its partitions.
+    """
+    spark = docs.sparkSession
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        file = docs.metadataColumn("_metadata")
+        rows = docs.withColumns({"_f": file["file_path"], "_i": file["row_index"]})
+    else:
+        rows = docs.withColumn("_i", F.monotonically_increasing_id())
+        rows = rows.withColumns({"_f": F.shiftright("_i", 33), "_i": F.col("_i").bitwiseAND((1 << 33) - 1)})
+    sizes = sorted((r["_f"], r.n) for r in rows.groupBy("_f").agg(F.count("*").alias("n")).collect())  # a row for each file or partition
+    ends = np.cumsum([n for _, n in sizes], dtype=np.int64)
+    first = {f: int(end) - n for (f, n), end in zip(sizes, ends, strict=True)}
+    step = np.uint64(((1 << 64) - 1) // max(1, int(ends[-1]) if len(ends) else 1))
+    shared = spark.sparkContext.broadcast(first)
+
+    @F.arrow_udf("struct<h:bigint,m:bigint>")
+    def number(f: pa.Array, i: pa.Array) -> pa.Array:
+        names = f.dictionary_encode()
+        begin = np.array([shared.value[x] for x in names.dictionary.to_pylist()], np.int64)
+        m = begin[np.asarray(names.indices)] + np.asarray(i)
+        h = (m.astype(np.uint64) * step ^ np.uint64(1 << 63)).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(h), pa.array(m)], names=["h", "m"])
+
+    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
+    return rows.withColumns({"_s": name, "_n": number("_f", "_i")}).withColumns({"_h": F.col("_n.h"), "_m": F.col("_n.m")}).drop("_f", "_i", "_n")
+
+
 def _plan(rows: DataFrame, weights: dict[str, int] | None, block_rows: int):
     sizes = {r["_s"]: r.n for r in rows.groupBy("_s").agg(F.count("*").alias("n")).collect()}  # a row for each source
     own = {s: (weights or {}).get(s[1:] if s != "null" else None, DEFAULT_WEIGHT) for s in sizes}
@@ -199,16 +230,18 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int
     return numbered.withColumn("_at", _placer(spark, plan, block_rows)("_s", "_number")).select("doc_id", "source", *(f"_at.{f}" for f in ("block", "release", "deadline", "phase", "slot", "place")))
 
 
-def with_places(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source", part_rows: int = PART_ROWS) -> DataFrame:
+def with_places(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, key: str = "doc_id", source: str = "source", part_rows: int = PART_ROWS, as_read: bool = False) -> DataFrame:
     """The rows in the order of the mix, with mix_slot and mix_place: the slot of their block in the mix and their place in the block.
 
+    Each source's rows come in the order of a hash, or ``as_read`` in the order that they have in the table; a table
+    that is in the order of a mix by the same weights then stays in it, and its rows get their slots and places in it.
+
     Partitions follow each other by slot and are sorted, so files written from them follow the schedule. Columns of
     these names are replaced. Rows are moved once, as they are: where each source's rows of a partition begin is found
     from their keys before.
     """
-    spark, docs = docs.sparkSession, docs.drop("mix_slot", "mix_place")
-    columns = docs.columns
-    rows = _rows(docs, key, source)
+    spark, columns = docs.sparkSession, [c for c in docs.columns if c not in ("mix_slot", "mix_place")]
+    rows = (_rows_as_read(docs, source) if as_read else _rows(docs, key, source)).drop("mix_slot", "mix_place")
     keys = rows.select("_s", "_h", "_m")
     sizes, plan = _plan(keys, weights, block_rows)
     total, places = sum(sizes.values()), _placer(spark, plan, block_rows)
