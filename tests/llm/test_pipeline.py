@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.test_operators import DOCS, corpus, plain_first_of_groups
 from wirelake.llm import bpe, pii
+from wirelake.llm.common import release
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -85,6 +86,21 @@ def test_encoded_has_the_places_of_mixed(spark, tmp_path):
     assert [(r.doc_id, r.mix_slot, r.mix_place) for r in chained] == [(r.doc_id, r.mix_slot, r.mix_place) for r in got]
 
 
+def test_texts_cross_to_python_once(spark, folder):
+    out = corpus_pipeline.language(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    # no column has the whole row beside the text
+    assert "struct(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_release_collects_on_executors(spark):
+    def collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before = collections()
+    release(spark)
+    assert collections() - before >= 2  # the driver's and, here in the same JVM, an executor's
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import code_points, texts_in_chunks, with_fields
+from wirelake.llm.common import code_points, giving_back, texts_in_chunks, with_fields
 
 #: A code point past Unicode marks the end of a text.
 END_POINT = 0x110000
@@ -344,7 +344,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = coder(path)
-        for batch in batches:
+        for batch in giving_back(batches):
             for first, texts in texts_in_chunks(batch, at, TOGETHER):
                 ids, sizes, counts = [], [], np.zeros(len(texts), np.int64)
                 for k, i, s in own.windows(texts):

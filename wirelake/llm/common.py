@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,9 +67,36 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now rather than at some later garbage collection."""
+    """Lets Spark delete the shuffle files of finished steps now rather than at some later garbage collection, and executors return heap that they don't use.
+
+    A heap otherwise stays as large as any earlier step has made it, and the Python workers of the next come on top.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    tasks = spark.sparkContext.defaultParallelism  # one for each core, so each executor has some; one without keeps its heap
+    spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
+
+
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; a worker process otherwise keeps the most that it ever took, through all later stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def giving_back(batches):
+    """The batches; what the work on each took goes back to the system after it."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
 
 
 def texts_in_chunks(batch: pa.RecordBatch, column: int = 1, limit: int = 1_000_000, most_rows: int = 400):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wirelake.llm.common import code_points, fold, texts_in_chunks, with_fields
+from wirelake.llm.common import code_points, fold, giving_back, texts_in_chunks, with_fields
 
 #: n-grams in a profile; the rank of one that a profile lacks counts as this.
 TOP = 300
@@ -78,7 +78,7 @@ def profiles(docs: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str,
     drawn = labelled.where(draw < limit[F.col("lang")]).select("lang", "text")
 
     def count(batches):
-        for batch in batches:
+        for batch in giving_back(batches):
             langs = np.array(batch.column(0).to_pylist(), object)
             for first, texts in texts_in_chunks(batch, limit=TOGETHER):
                 owner, code, n, _ = ngrams(texts)
@@ -129,18 +129,16 @@ def identify(docs: DataFrame, trained: dict[str, np.ndarray]) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            pred, score = [], []
-            for _, texts in texts_in_chunks(batch, at, TOGETHER):
-                if not langs:
-                    pred += ["und"] * len(texts)
-                    score += [0.0] * len(texts)
-                    continue
-                away, size = distances(texts, known)
-                best = away.argmin(axis=1)
-                pred += [langs[b] if s else "und" for b, s in zip(best, size, strict=True)]
-                score += np.where(size > 0, 1 - away[np.arange(len(texts)), best], 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        for batch in giving_back(batches):
+            for first, texts in texts_in_chunks(batch, at, TOGETHER):
+                if langs:
+                    away, size = distances(texts, known)
+                    best = away.argmin(axis=1)
+                    pred = [langs[b] if s else "und" for b, s in zip(best, size, strict=True)]
+                    score = np.where(size > 0, 1 - away[np.arange(len(texts)), best], 0.0)
+                else:
+                    pred, score = ["und"] * len(texts), np.zeros(len(texts))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, with_fields(docs.schema, "lang_pred string, score double"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import with_fields
+from wirelake.llm.common import giving_back, texts_in_chunks, with_fields
 
 #: Kinds in the order that breaks ties of spans with the same start; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "iban")
@@ -28,6 +28,8 @@ CONTEXT = {
 CONTRARY = ("version", "example", "sample", "isbn", "serial", "order")
 #: Spans of other than the base kinds with a lower score are found, but not redacted.
 SURE = 0.5
+#: Characters of texts that are redacted and handed on together.
+TOGETHER = 400_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -153,9 +155,11 @@ def redact(docs: DataFrame, least: float = SURE) -> DataFrame:
         return "".join([*out, text[done:]]) if out else text
 
     def run(batches):
-        for batch in batches:
-            texts = [None if (x := t.as_py()) is None else clean(x) for t in batch.column(at)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
+        for batch in giving_back(batches):
+            for first, texts in texts_in_chunks(batch, at, TOGETHER):
+                part = batch.slice(first, len(texts))
+                texts = pa.array([clean(x) for x in texts], pa.string(), mask=part.column(at).is_null().to_numpy(zero_copy_only=False))
+                yield part.set_column(at, batch.schema.field(at), texts)
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out

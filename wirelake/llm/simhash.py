@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wirelake.llm.common import Scratch, ascii_lower, link_roots, release
+from wirelake.llm.common import Scratch, ascii_lower, give_back, giving_back, link_roots, release
 from wirelake.llm.graph import components
 
 #: Distinct fingerprints in one tile; two tiles and one block of comparisons are what a task holds.
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint's bits as a signed long. A null or blank text has 0."""
 
     def run(batches):
-        for batch in batches:
+        for batch in giving_back(batches):
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -93,7 +93,7 @@ def set_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches):
         counts, held, size = np.zeros(1 << COUNT_BITS, np.int64), [], 0
-        for batch in batches:
+        for batch in giving_back(batches):
             nodes, fps = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.uint64)
             for row, t in enumerate(batch.column(2)):
                 grams = shingle_set(t.as_py(), shingle)
@@ -150,7 +150,7 @@ def postings(docs: DataFrame, counts: np.ndarray, least: float, shingle: int) ->
             return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), *map(pa.array, out[1:])], names=names)
 
         held, total, seen = [], 0, set()
-        for batch in batches:
+        for batch in giving_back(batches):
             for t in batch.column(0):
                 grams = shingle_set(t.as_py(), shingle)
                 if not len(grams):
@@ -176,7 +176,7 @@ def postings(docs: DataFrame, counts: np.ndarray, least: float, shingle: int) ->
 def _whole_runs(batches):
     """Columns of whole runs of one gram, about TOGETHER rows or more at once."""
     held, rows = [], 0
-    for batch in batches:
+    for batch in giving_back(batches):
         held.append([np.asarray(c) for c in batch.columns])
         rows += batch.num_rows
         if rows < TOGETHER:
@@ -347,6 +347,7 @@ def links_in_runs(runs: DataFrame, held: DataFrame, least: float) -> DataFrame:
         same = table.column("a")[0].as_py() == table.column("b")[0].as_py()
         roots = np.arange(len(nodes)) if not same and cut in (0, len(nodes)) else similar_sets(grams.flatten().to_numpy(), sizes, None if same else cut, least)
         y = np.flatnonzero(roots != np.arange(len(nodes)))
+        give_back()
         return pa.table({"u": nodes[roots[y]], "v": nodes[y]})
 
     return keyed.groupBy("gram", "a", "b").applyInArrow(run, "u long, v long")
@@ -564,7 +565,7 @@ def shingles_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, shingle: int
     texts = texts.select(both, "*").join(wanted, (F.col("__wirelake_k") == F.col("k")) & F.col("__wirelake_id").eqNullSafe(F.col("doc_id")) & (F.col("__wirelake_t") == F.col("t")))
 
     def sets(batches):
-        for batch in batches:
+        for batch in giving_back(batches):
             grams = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
 
