@@ -79,6 +79,15 @@ def anchors(data: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
     return begin, length, hashes[at[begin]], context
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Of each value its place among the different ones."""
+    order = np.argsort(x)
+    x = x[order]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(np.concatenate(([False], x[1:] != x[:-1])))
+    return out
+
+
 def maximal_repeats(texts: list[bytes], least: int = LEAST) -> list[tuple[int, list[tuple[int, int]]]]:
     """(length, [(text, place), ...]) of the maximal repeats of at least that many bytes, with all their occurrences.
 
@@ -89,10 +98,10 @@ def maximal_repeats(texts: list[bytes], least: int = LEAST) -> list[tuple[int, l
     the common prefixes of neighbours walks the interval tree; each interval with different left bytes is a repeat.
     """
     texts = [bytes(t) for t in texts]
-    gap = bytes(least)
-    data = np.frombuffer(gap.join([*texts, b""]), np.uint8)
+    # end to end: only windows within a text are looked at, and the ranks that make them up cover nothing else
+    data = np.frombuffer(b"".join([*texts, bytes(least)]), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    first = np.cumsum(sizes + least) - sizes - least
+    first = np.cumsum(sizes) - sizes
     starts = np.maximum(0, sizes - least + 1)
     if not starts.sum():
         return []
@@ -100,15 +109,14 @@ def maximal_repeats(texts: list[bytes], least: int = LEAST) -> list[tuple[int, l
     place = np.arange(starts.sum()) + np.repeat(first - (np.cumsum(starts) - starts), starts)
     owner = np.repeat(np.arange(len(texts)), starts)
     rank = _eights(np.concatenate((data, np.zeros(8, np.uint8))))
-    _, rank = np.unique(rank, return_inverse=True)
+    rank = _ranks(rank)
     size = 8
     while size * 2 <= least:
-        _, rank = np.unique((rank[:-size].astype(np.int64) << 32) | rank[size:], return_inverse=True)
+        rank = _ranks((rank[:-size] << 32) | rank[size:])
         size *= 2
-    rank = rank.astype(np.int64)
     tail = least - size
     key = (rank[place] << 32) | rank[np.minimum(place + tail, len(rank) - 1)]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     place, owner, key = place[order], owner[order], key[order]
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     count = np.diff(np.append(edge, len(key)))
