@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,12 @@ class Parameters:
 
 def symbols(docs: list[list[bytes]], number: dict[bytes, int], size: int) -> np.ndarray:
     """All words and ends as numbers, text after text."""
-    return np.fromiter((x for d in docs for x in (*(number.get(w, size) for w in d), size + 1)), np.int32, sum(map(len, docs)) + len(docs))
+    sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+    out = np.full(int(sizes.sum()) + len(docs), size + 1, np.int32)
+    is_word = np.ones(len(out), bool)
+    is_word[np.cumsum(sizes + 1) - 1] = False
+    out[is_word] = np.fromiter(map(number.get, chain.from_iterable(docs), repeat(size)), np.int32, int(sizes.sum()))
+    return out
 
 
 def expected(stream: np.ndarray, p: Parameters, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
@@ -66,25 +72,41 @@ def _expected(obs, fresh, p, into):
     share = np.linalg.matrix_power(p.moves, 64)[0]
     e = p.emit[obs]
     ahead = np.empty((length, lanes, states))
-    scale = np.empty((length, lanes))
+    # the lanes in which a text begins, by step
+    step, lane = np.nonzero(fresh)
+    first = np.searchsorted(step, np.arange(length + 1))
+    begins = [lane[a:b] for a, b in zip(first, first[1:])]
+    ones = np.ones(states)
     for t in range(length):
-        a = ahead[t - 1] @ p.moves if t else np.broadcast_to(share, (lanes, states))
-        a = np.where(fresh[t][:, None], p.start, a) * e[t]
-        scale[t] = a.sum(axis=1)
-        ahead[t] = a / scale[t][:, None]
-    back = np.ones((lanes, states))
-    gamma = ahead
-    for t in range(length - 1, -1, -1):
-        if t < length - 1:
-            q = e[t + 1] * back / scale[t + 1][:, None]
-            on = ~fresh[t + 1]
-            moves += (ahead[t][on].T @ q[on]) * p.moves
-            back = np.where(on[:, None], q @ p.moves.T, 1.0)
-        gamma[t] = ahead[t] * back
-        gamma[t] /= gamma[t].sum(axis=1, keepdims=True)
+        a = ahead[t]
+        if t:
+            np.matmul(ahead[t - 1], p.moves, out=a)
+        else:
+            a[:] = share
+        if len(begins[t]):
+            a[begins[t]] = p.start
+        a *= e[t]
+        # a sum of each row; what follows needs e only as scaled
+        scale = (1 / (a @ ones))[:, None]
+        a *= scale
+        e[t] *= scale
+    # messages back: those before a text's first word are ones, and no move leads there
+    back = np.ones((length, lanes, states))
+    against = p.moves.T.copy()
+    for t in range(length - 1, 0, -1):
+        q = e[t]
+        q *= back[t]
+        if len(begins[t]):
+            q[begins[t]] = 0
+        np.matmul(q, against, out=back[t - 1])
+        if len(begins[t]):
+            back[t - 1][begins[t]] = 1
+    moves += (ahead[:-1].reshape(-1, states).T @ e[1:].reshape(-1, states)) * p.moves
+    gamma = np.multiply(ahead, back, out=ahead)
+    gamma /= (gamma @ ones)[:, :, None]
     starts += gamma[fresh].sum(axis=0)
     flat, g = obs.ravel(), gamma.reshape(-1, states)
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat)
     at = flat[order]
     edge = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     emissions[at[edge]] += np.add.reduceat(g[order], edge, axis=0)
@@ -343,7 +365,11 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
                 is_rare = stream == size
                 known = ~is_rare & ((stream != size + 1) | (n_ends > 0))
                 heads = (lengths, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(np.where(is_rare, 0.0, each[stream]), first), log10_likelihoods(stream, lengths, p))
-                lists = [Counter(w for w in d if w not in number) or {None: 0} for d in docs]
+                at = np.flatnonzero(is_rare)
+                owner = np.searchsorted(first, at, "right") - 1
+                rare = [docs[k][i] for k, i in zip(owner.tolist(), (at - first[owner]).tolist(), strict=True)]
+                ends = np.searchsorted(owner, np.arange(len(docs) + 1)).tolist()
+                lists = [Counter(rare[a:b]) or {None: 0} for a, b in zip(ends, ends[1:])]
                 sizes = np.fromiter(map(len, lists), np.int64, len(lists))
                 row = np.repeat(np.arange(len(docs)), sizes)
                 later = np.ones(len(row), bool)
