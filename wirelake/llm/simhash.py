@@ -31,6 +31,8 @@ PART, PART_SIZE = 512, 1_000_000
 SIEVE_BITS = 1 << 25
 #: Bits between the limits by which a task tells whether a pair joins anything.
 STEP = 6
+#: Words of 64 bits of a set's sketch. Unlike sets of up to some 1,100 shingles are told apart by 8; larger ones are compared in full.
+SKETCH = 8
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -71,6 +73,15 @@ def set_hash(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes(), 42) - (1 << 63)
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """SKETCH signed words: of how many shingles the first bits of the hash are a number, odd or even, one bit each.
+
+    Two sketches differ in no more bits than there are shingles that only one of the sets has.
+    """
+    at = (grams >> np.uint64(64 - (64 * SKETCH - 1).bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint's bits as a signed long. A null or blank text has 0."""
 
@@ -83,35 +94,38 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def set_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, t, node, fp) of every row: hashes of the text and of its set of shingles, and the set's fingerprint.
+    """(doc_id, t, node, fp, size, s0, s1 ...) of every row: hashes of the text and of its set of shingles, and the set's fingerprint, size and sketch.
 
     From each task COUNT_PARTS more rows have (part, counts): how often each value of the last COUNT_BITS bits is met,
     as 32-bit numbers.
     """
     mask, width = np.uint64((1 << COUNT_BITS) - 1), (1 << COUNT_BITS) // COUNT_PARTS
-    names = ["doc_id", "t", "node", "fp", "part", "counts"]
+    words = [f"s{k}" for k in range(SKETCH)]
+    names = ["doc_id", "t", "node", "fp", "size", *words, "part", "counts"]
 
     def run(batches):
         counts, held, size = np.zeros(1 << COUNT_BITS, np.int64), [], 0
         for batch in giving_back(batches):
-            nodes, fps = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.uint64)
+            nodes, fps, sizes = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.int32)
+            sketches = np.empty((SKETCH, batch.num_rows), np.int64)
             for row, t in enumerate(batch.column(2)):
                 grams = shingle_set(t.as_py(), shingle)
-                nodes[row], fps[row] = set_hash(grams), majority(grams)
+                nodes[row], fps[row], sizes[row], sketches[:, row] = set_hash(grams), majority(grams), len(grams), sketch(grams)
                 held.append(grams & mask)
                 size += len(grams)
                 if size >= COUNTED:
                     counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
                     held, size = [], 0
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(fps.view(np.int64)), *none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(fps.view(np.int64)), pa.array(sizes), *map(pa.array, sketches), *none], names=names)
         if held:
             counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts))
         if counts.any():
             parts = [x.astype(np.int32).tobytes() for x in counts.reshape(-1, width)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(COUNT_PARTS, pa.int64()) for _ in range(4)), pa.array(range(COUNT_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            none = [pa.nulls(COUNT_PARTS, pa.int32() if c == "size" else pa.int64()) for c in names[:-2]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(COUNT_PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, "doc_id long, t long, node long, fp long, part int, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id long, t long, node long, fp long, size int, {', '.join(f'{w} long' for w in words)}, part int, counts binary")
 
 
 def shingle_counts(marked: DataFrame) -> np.ndarray:
@@ -574,11 +588,25 @@ def shingles_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, shingle: int
     return texts.select("k", "node", "text").withColumn("turn", turn).where("turn = 1").select("node", "text").mapInArrow(sets, "node long, grams array<long>")
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes without those whose sizes and sketches rule out a Jaccard similarity of ``least``."""
+
+    def of(end):
+        return nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("size", *(f"s{k}" for k in range(SKETCH)))))
+
+    apart = sum((F.bit_count(F.col(f"u_s{k}").bitwiseXOR(F.col(f"v_s{k}"))) for k in range(SKETCH)), F.lit(0))
+    # what only one of two similar sets has, at most
+    most = (F.col("u_size") + F.col("v_size")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-6)
+    return pairs.join(of("u"), "u").join(of("v"), "v").where((apart <= most) & (F.abs(F.col("u_size") - F.col("v_size")) <= most)).select("u", "v")
+
+
 def alike(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, shingle: int, name: str, runs: DataFrame | None = None) -> DataFrame:
     """Those of the pairs (u, v) of nodes whose sets of shingles have a Jaccard similarity of at least ``least``.
 
-    With ``runs`` (u, gram, parts) edges that join all similar sets of each run too.
+    With ``runs`` (u, gram, parts) edges that join all similar sets of each run too. Pairs that sketches rule out don't
+    have their sets moved.
     """
+    pairs = scratch.table(plausible(pairs, nodes, least), f"{name}-plausible")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     if runs is not None:
         ends = ends.unionByName(runs.select(F.col("u").alias("node")).distinct()).distinct()
@@ -591,7 +619,7 @@ def alike(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame,
     edges = scratch.table(found, f"{name}-edges")
     if runs is not None and not runs.isEmpty():
         edges = edges.unionByName(scratch.table(links_in_runs(runs, held, least).distinct(), f"{name}-stars"))
-    scratch.drop(f"{name}-ends", f"{name}-grams")
+    scratch.drop(f"{name}-plausible", f"{name}-ends", f"{name}-grams")
     release(docs.sparkSession)
     return edges
 
@@ -611,7 +639,7 @@ def without_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, t
     scratch = Scratch(docs.sparkSession, "similar")
     marked = scratch.table(set_fingerprints(docs, shingle), "marked")
     one = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t")
-    nodes = scratch.table(marked.where("part is null").groupBy("node").agg(F.min(one).alias("one"), F.min("fp").alias("fp"), F.count("*").alias("rows")), "nodes")
+    nodes = scratch.table(marked.where("part is null").groupBy("node").agg(F.min(one).alias("one"), *(F.min(c).alias(c) for c in ("fp", "size", *(f"s{k}" for k in range(SKETCH)))), F.count("*").alias("rows")), "nodes")
     ordered = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     near = links(nodes.select(F.col("node").alias("rep"), "fp"), radius, tile, radius).select(*ordered)
     runs = scratch.table(shared_postings(postings(docs, shingle_counts(marked), least, shingle), least), "runs")
