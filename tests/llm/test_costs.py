@@ -41,3 +41,20 @@ def test_expected_counts_of_texts_in_one_sequence():
             for x, s in zip(text, path, strict=True):
                 want[2][x, s] += weight
     assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_training_numbers_words_once(spark, monkeypatch):
+    seen = []
+    for name in ("word_counts", "neighbours", "baum_welch"):
+        plain = getattr(hmm, name)
+        monkeypatch.setattr(hmm, name, lambda training, *a, plain=plain, name=name: seen.append((name, "text" in training.columns)) or plain(training, *a))
+    texts = ["one two three " * 30, None, "", "two\tone  Two", "x" * 70_000 + " one", *(f"one word{k % 4} three" for k in range(50))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = hmm.fit(docs)
+    # texts are read for their counts; passes read numbers
+    assert seen == [("word_counts", True), ("neighbours", False), ("baum_welch", False), ("baum_welch", False)]
+    number = {w: i for i, (w, _) in enumerate(model.top)}
+    names = spark.sparkContext.broadcast((number, len(number)))
+    got = sorted(np.frombuffer(r.stream, np.int32).tolist() for r in hmm.numbered(docs, names).collect())
+    want = sorted(hmm.symbols([hmm.ascii_lower(t).split()], number, len(number)).tolist() for t in texts)
+    assert got == want

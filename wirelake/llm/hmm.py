@@ -8,6 +8,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,20 +91,24 @@ def _expected(obs, fresh, p, into):
         scale = (1 / (a @ ones))[:, None]
         a *= scale
         e[t] *= scale
-    # messages back: those before a text's first word are ones, and no move leads there
-    back = np.ones((length, lanes, states))
+    # messages back: those before a text's first word are ones, and no move leads there; what is ahead turns into the
+    # shares of the states, which sum to one as they are: either side is scaled by the same
+    back = np.ones((lanes, states))
     against = p.moves.T.copy()
+    moved = np.zeros((states, states))
     for t in range(length - 1, 0, -1):
         q = e[t]
-        q *= back[t]
+        q *= back
         if len(begins[t]):
             q[begins[t]] = 0
-        np.matmul(q, against, out=back[t - 1])
+        moved += ahead[t - 1].T @ q
+        ahead[t] *= back
+        np.matmul(q, against, out=back)
         if len(begins[t]):
-            back[t - 1][begins[t]] = 1
-    moves += (ahead[:-1].reshape(-1, states).T @ e[1:].reshape(-1, states)) * p.moves
-    gamma = np.multiply(ahead, back, out=ahead)
-    gamma /= (gamma @ ones)[:, :, None]
+            back[begins[t]] = 1
+    ahead[0] *= back
+    moves += moved * p.moves
+    gamma = ahead
     starts += gamma[fresh].sum(axis=0)
     flat, g = obs.ravel(), gamma.reshape(-1, states)
     order = np.argsort(flat)
@@ -213,16 +218,42 @@ def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> list[tuple[bytes, i
     return sorted(((bytes(r.word), r.n) for r in words.where(rank >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
+def numbered(training: DataFrame, names) -> DataFrame:
+    """(stream): the numbers of each text's words and its end, as 32-bit numbers; a table that has these is left as it is."""
+    if training.columns == ["stream"]:
+        return training
+
+    def run(batches):
+        number, size = names.value
+        for batch in batches:
+            for _, docs in _split(batch, 0):
+                ends = np.cumsum(np.fromiter((4 * len(d) + 4 for d in docs), np.int32, len(docs)), dtype=np.int32)
+                buffers = [None, pa.py_buffer(np.concatenate((np.zeros(1, np.int32), ends))), pa.py_buffer(symbols(docs, number, size))]
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(docs), buffers)], names=["stream"])
+
+    return training.select("text").mapInArrow(run, "stream binary")
+
+
+def _streams(batch: pa.RecordBatch):
+    """The numbers of whole texts (``numbered``), about CHUNK at once."""
+    texts = batch.column(0)
+    ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+    first = 0
+    while first < len(ends):
+        last = min(len(ends), int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 4 * CHUNK)) + 1)
+        yield np.frombuffer(b"".join(texts.slice(first, last - first).to_pylist()), np.int32)
+        first = last
+
+
 def neighbours(training: DataFrame, names, coarse: int) -> np.ndarray:
-    """Counts [before, after] of all neighbouring symbols of all training texts. Words from ``coarse`` on are one symbol; the first of a text follows an end."""
+    """Counts [before, after] of all neighbouring symbols of all training texts, which may be ``numbered``. Words from ``coarse`` on are one symbol; the first of a text follows an end."""
     width = coarse + 2
 
     def run(batches):
-        number, size = names.value
+        size = names.value[1]
         counts = np.zeros(width * width, np.int64)
         for batch in batches:
-            for _, docs in _split(batch, 0):
-                stream = symbols(docs, number, size)
+            for stream in _streams(batch):
                 after = np.where(stream == size + 1, coarse + 1, np.minimum(stream, coarse)).astype(np.int64)
                 # every chunk ends with an end
                 before = np.concatenate(([coarse + 1], after[:-1]))
@@ -230,7 +261,7 @@ def neighbours(training: DataFrame, names, coarse: int) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["pair", "n"])
 
-    table = training.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # width * width rows at most
+    table = numbered(training, names).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # width * width rows at most
     out = np.zeros(width * width)
     out[table["pair"].to_numpy(np.int64)] = table["n"].to_numpy(np.float64)
     return out.reshape(width, width)
@@ -265,7 +296,7 @@ def start(training: DataFrame, names, overall: np.ndarray, most: int = START_WOR
 
 
 def baum_welch(training: DataFrame, p: Parameters, names, overall: np.ndarray) -> Parameters:
-    """One pass over all training texts: each task's expected counts, added up, and the model that they give.
+    """One pass over all training texts, which may be ``numbered``: each task's expected counts, added up, and the model that they give.
 
     At most VOCABULARY + STATES + 3 rows of STATES numbers leave a task, and as many reach the driver.
     """
@@ -274,11 +305,10 @@ def baum_welch(training: DataFrame, p: Parameters, names, overall: np.ndarray) -
     model = spark.sparkContext.broadcast(p)  # (VOCABULARY + 2) * STATES numbers
 
     def run(batches):
-        number, size = names.value
         into = counts_of(model.value)
         for batch in batches:
-            for _, docs in _split(batch, 0):
-                expected(symbols(docs, number, size), model.value, into)
+            for stream in _streams(batch):
+                expected(stream, model.value, into)
         starts, moves, emissions = into
         at = np.flatnonzero(emissions.any(axis=1))
         table = np.concatenate((emissions[at], moves, starts[None, :]))
@@ -286,7 +316,7 @@ def baum_welch(training: DataFrame, p: Parameters, names, overall: np.ndarray) -
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(np.ascontiguousarray(table[:, k]).astype(np.float32)) for k in range(STATES))], names=["sym", *columns])
 
     schema = "sym int, " + ", ".join(f"{c} float" for c in columns)
-    table = training.select("text").mapInArrow(run, schema).groupBy("sym").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+    table = numbered(training, names).mapInArrow(run, schema).groupBy("sym").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
     c = counts_of(p)
     values = table[columns].to_numpy(np.float64)
     sym = table["sym"].to_numpy()
@@ -318,7 +348,8 @@ class Model:
 def fit(training: DataFrame, passes: int = PASSES) -> Model:
     """The model of all training texts: a start from their counts of neighbours, then passes over all of them."""
     spark = training.sparkSession
-    counts = Scratch(spark, "hmm").table(word_counts(training), "counts")
+    scratch = Scratch(spark, "hmm")
+    counts = scratch.table(word_counts(training), "counts")
     total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     ends = counts.where(F.octet_length("word") == 0).first()
     model = Model(counts, vocabulary(counts), int(total.n), int(total.v), int(ends.n) if ends else 0, None)
@@ -326,9 +357,12 @@ def fit(training: DataFrame, passes: int = PASSES) -> Model:
     overall = np.array([*(n for _, n in model.top), model.rare[0] + 0.5, model.n_ends + 0.5], np.float64)
     overall /= overall.sum()
     names = spark.sparkContext.broadcast((number, size))  # VOCABULARY words
-    model.p = start(training, names, overall)
+    # texts are split and looked up once; what training reads again and again are numbers
+    streams = scratch.table(numbered(training, names), "streams")
+    model.p = start(streams, names, overall)
     for _ in range(passes):
-        model.p = baum_welch(training, model.p, names, overall)
+        model.p = baum_welch(streams, model.p, names, overall)
+    scratch.drop("streams")
     return model
 
 
